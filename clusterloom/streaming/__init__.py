@@ -1,0 +1 @@
+"""Reserved: none of the jobs is a stream, so there is no streaming operator."""
