@@ -158,12 +158,13 @@ def with_nearest(
 
     ``ids`` must ascend, so that the first position is also the lowest id.
     """
-    names = F.array(*[F.lit(int(i)) for i in ids])
     if unrolls(spec, len(centres)):
         distances = ", ".join(squared_distance_sql(spec.elements, c) for c in centres)
-        with_all = df.withColumn("__ds", F.expr(f"array({distances})"))
-        position = F.array_position("__ds", F.array_min("__ds")).cast("int")
-        return with_all.withColumn(out, F.element_at(names, position)).drop("__ds")
+        position = "cast(array_position(__ds, array_min(__ds)) AS INT)"
+        names = ", ".join(str(int(i)) for i in ids)
+        nearest = F.expr(f"element_at(array({names}), {position})").alias(out)
+        with_all = df.select("*", F.expr(f"array({distances})").alias("__ds"))
+        return with_all.select(*[c for c in df.columns if c != out], nearest)
     matrix = np.asarray(centres, dtype=np.float64)
     labels = np.asarray(ids, dtype=np.int32)
 

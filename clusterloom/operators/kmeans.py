@@ -274,23 +274,25 @@ def _round_in_numpy(
     partial = items.select(*columns).mapInArrow(
         _partial_sums(centres, earlier), "cid int, n bigint, moved bigint, sums array<double>"
     )
-    totals = [F.sum(F.col("sums")[i]) / F.sum("n") for i in range(spec.size)]
-    return partial.groupBy("cid").agg(F.sum("moved").alias("moved"), F.array(*totals).alias("means"))
+    means = ", ".join(f"sum(sums[{i}]) / sum(n)" for i in range(spec.size))
+    return partial.groupBy("cid").agg(
+        F.sum("moved").alias("moved"), F.expr(f"array({means})").alias("means")
+    )
 
 
 def _round_in_codegen(
     items: DataFrame, spec: Features, centres: Centroids | None, earlier: Centroids | None
 ) -> DataFrame:
-    labelled = items
-    if centres is not None:
-        labelled = with_nearest(labelled, spec, *_unzip(centres), "__cid")
-    moved = F.lit(0)
+    labelled = items.select("__cid", *spec.columns) if centres is None else with_nearest(
+        items.select(*spec.columns), spec, *_unzip(centres), "__cid"
+    )
+    moved = "0"
     if earlier is not None:
         labelled = with_nearest(labelled, spec, *_unzip(earlier), "__before")
-        moved = (F.col("__before") != F.col("__cid")).cast("int")
-    means = [F.avg(F.expr(e)).alias(f"m{i}") for i, e in enumerate(spec.elements)]
-    return labelled.groupBy(F.col("__cid").alias("cid")).agg(F.sum(moved).alias("moved"), *means).select(
-        "cid", "moved", F.array(*[f"m{i}" for i in range(spec.size)]).alias("means")
+        moved = "count_if(__before != __cid)"
+    means = ", ".join(f"avg({e})" for e in spec.elements)
+    return labelled.groupBy(F.col("__cid").alias("cid")).agg(
+        F.expr(moved).alias("moved"), F.expr(f"array({means})").alias("means")
     )
 
 

@@ -295,7 +295,7 @@ SLICES = {
 
 AUDIT_LINES = """source AS (
     SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, user_id, event_type, props,
-        (epoch_ms(ts) // 1000) || '.' || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') AS stamp
+        (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') AS stamp
     FROM events),
 tails AS (
     SELECT *, ' ppid=' || ppid || ' pid=' || pid || ' auid=1000 uid=' || user_id || ' euid=' || user_id
