@@ -143,3 +143,15 @@ def tanimoto_sql(words: str, query: Sequence[int]) -> str:
         for i, q in enumerate(query)
     )
     return f"coalesce(try_divide({shared}, {joined}), 0.0D)"
+
+
+def tanimoto(a: str, b: str) -> Column:
+    """Tanimoto similarity of two fingerprint columns; 0 where no bit is set at all."""
+    def total(operator: str) -> str:
+        return (
+            f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count("
+            f"(cast(x AS BIGINT) {operator} cast(y AS BIGINT)) & {WORD_MASK}L)), "
+            "0, (total, n) -> total + n)"
+        )
+
+    return F.expr(f"coalesce(try_divide({total('&')}, {total('|')}), 0.0D)")

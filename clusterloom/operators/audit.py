@@ -66,30 +66,25 @@ def session_records(records: DataFrame) -> DataFrame:
 def process_table(records: DataFrame) -> DataFrame:
     """One row per exited pid: its last exit record, with its last exec arguments.
 
-    Arguments are a record of their own that lacks the pid, so records are first
-    brought together per event and then per pid: two aggregates, no join.
+    Arguments are a record of their own that lacks the pid, so exec records are
+    first brought together per event.  Both sides of the final join are grouped
+    by pid already, so it moves no row again.
     """
     order = ["event_time", "serial"]
     is_call = F.col("type") == "SYSCALL"
-    exits = is_call & F.col("syscall").isin(*EXIT_CALLS)
-    calls = is_call & F.col("syscall").isin(*EXEC_CALLS)
-    exited = F.struct("ppid", "exe", "euid", "domain")
-    events = records.groupBy(*order).agg(
-        F.max(F.when(exits | calls, F.col("pid"))).alias("pid"),
-        F.max(F.when(exits, exited)).alias("exited"),
-        F.max(F.when(F.col("type") == "EXECVE", F.col("args"))).alias("args"),
-    ).filter(F.col("pid").isNotNull())
-    by_pid = events.groupBy("pid").agg(
-        F.max(F.when(F.col("exited").isNotNull(), F.struct(*order, "exited"))).alias("last_exit"),
-        F.max(F.when(F.col("args").isNotNull(), F.struct(*order, "args"))).alias("last_exec"),
-    ).filter(F.col("last_exit").isNotNull())
-    return by_pid.select(
-        "pid",
-        F.col("last_exit.event_time").alias("event_time"),
-        F.col("last_exit.serial").alias("serial"),
-        "last_exit.exited.*",
-        F.col("last_exec.args").alias("args"),
+    exits = records.filter(is_call & F.col("syscall").isin(*EXIT_CALLS) & F.col("pid").isNotNull())
+    processes = exits.groupBy("pid").agg(
+        F.max(F.struct(*order, "ppid", "exe", "euid", "domain")).alias("last")
+    ).select("pid", "last.*")
+    is_exec = (is_call & F.col("syscall").isin(*EXEC_CALLS)) | (F.col("type") == "EXECVE")
+    execs = records.filter(is_exec).groupBy(*order).agg(
+        F.max(F.when(is_call, F.col("pid"))).alias("pid"),
+        F.max(F.when(~is_call, F.col("args"))).alias("args"),
+    ).filter(F.col("pid").isNotNull() & F.col("args").isNotNull())
+    arguments = execs.groupBy("pid").agg(F.max(F.struct(*order, "args")).alias("last")).select(
+        "pid", "last.args"
     )
+    return processes.join(arguments, "pid", "left")
 
 
 def login_pid(records: DataFrame) -> int | None:
@@ -103,28 +98,33 @@ def link_to_root(edges: DataFrame, root: int) -> DataFrame:
     """``(pid, root, depth, path)`` of every node below ``root``.
 
     ``edges`` has one row per pid: ``pid``, ``ppid`` and ``rank`` (sibling order).
-    Every round joins each node with the node its pointer has reached, which
-    doubles the distance covered: the number of joins grows with the logarithm
-    of the depth.  A round in which no node reaches the root ends the loop; what
-    is left then hangs on a cycle.  Pointers that leave the table end nowhere
-    and are dropped.
+    Every round moves the pointer of each open node to where the node it points
+    at has got, which doubles the distance covered: the number of joins grows
+    with the logarithm of the depth.  Nodes that reach the root are set aside and
+    never written again.  A round that brings none to the root ends the loop;
+    what is left then hangs on a cycle.  Pointers that leave the table end
+    nowhere and are dropped.
     """
-    step = F.struct("rank", "pid")
-    state = cut_lineage(edges.select("pid", F.col("ppid").alias("up"), F.array(step).alias("path")))
-    linked = state.filter(F.col("up") == root).count()
+    at_root = F.col("up") == root
+    step = F.array(F.struct("rank", "pid"))
+    state = cut_lineage(edges.select("pid", F.col("ppid").alias("up"), step.alias("path")))
+    linked, still_open = state.filter(at_root), state.filter(~at_root)
     while True:
-        reached = state.select(
+        reached = linked.unionByName(still_open).select(
             F.col("pid").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("upper")
         )
-        moving = state.filter(F.col("up") != root).join(reached, "up").select(
+        moved = cut_lineage(still_open.join(reached, "up").select(
             "pid", F.col("next_up").alias("up"), F.concat("upper", "path").alias("path")
-        )
-        state = cut_lineage(state.filter(F.col("up") == root).unionByName(moving))
-        now = state.filter(F.col("up") == root).count()
-        if now == linked:
+        ))
+        counts = moved.agg(
+            F.count_if(at_root).alias("linked"), F.count_if(~at_root).alias("open")
+        ).first()
+        if counts["linked"]:
+            linked = linked.unionByName(moved.filter(at_root))
+        if not (counts["linked"] and counts["open"]):
             break
-        linked = now
-    return state.filter(F.col("up") == root).select(
+        still_open = moved.filter(~at_root)
+    return linked.select(
         "pid",
         F.col("path")[0]["pid"].alias("root"),
         (F.size("path") - 1).alias("depth"),

@@ -16,10 +16,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.functions.bits import WORD_MASK, tanimoto_sql
+from clusterloom.functions.bits import WORD_MASK, tanimoto, tanimoto_sql
 
 # Largest (queries x words) written out as generated code.
 UNROLL_LIMIT = 64
@@ -92,23 +93,29 @@ def tanimoto_pairs(
     item_id: str,
     query_id: str,
     words: str = "words",
+    max_shipped_bytes: int = MAX_SHIPPED_BYTES,
 ) -> DataFrame:
     """``(query id, item id, similarity)`` for every query and item.
 
-    One row per combination is the result itself; the queries are shipped to
-    the tasks, so there is no join.  They must fit ``MAX_SHIPPED_BYTES``.
+    One row per combination is the result itself.  Queries within the size bound
+    are shipped to the tasks, so there is no join.
     """
-    n_queries, n_words = _query_facts(queries, words)
-    if n_queries * n_words * 8 > MAX_SHIPPED_BYTES:
-        raise ValueError("too many queries to list every combination")
-    rows = queries.select(query_id, _checked(words, n_words).alias(words)).collect()
-    table = items.select(item_id, _checked(words, n_words).alias("__words"))
+    queries = queries.select(query_id, words).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_queries, n_words = _query_facts(queries, words)
+        table = items.select(item_id, _checked(words, n_words).alias("__words"))
+        checked = queries.select(query_id, _checked(words, n_words).alias("__query"))
+        if n_queries * n_words * 8 > max_shipped_bytes:
+            return _pairs_in_blocks(table, checked, item_id, query_id, n_queries)
+        rows = checked.collect()
+    finally:
+        queries.unpersist()
     ids = F.array(*[F.lit(r[query_id]) for r in rows])
     if n_queries * n_words <= UNROLL_LIMIT:
-        sims = ", ".join(tanimoto_sql("__words", r[words]) for r in rows)
+        sims = ", ".join(tanimoto_sql("__words", r["__query"]) for r in rows)
         scored = table.withColumn("__sims", F.expr(f"array({sims})"))
     else:
-        matrix = _as_words([r[words] for r in rows])
+        matrix = _as_words([r["__query"] for r in rows])
 
         @F.arrow_udf("array<double>")
         def similarities(fingerprints: pa.Array) -> pa.Array:
@@ -119,6 +126,35 @@ def tanimoto_pairs(
     return pairs.toDF(item_id, query_id, "similarity").select(query_id, item_id, "similarity")
 
 
+def _every(n: int) -> Column:
+    """One row for each of 0 .. n-1."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _block(n: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def _block_counts(items: DataFrame, n_queries: int) -> tuple[int, int]:
+    return max(1, -(-items.count() // ITEM_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+
+
+def _pairs_in_blocks(
+    items: DataFrame, queries: DataFrame, item_id: str, query_id: str, n_queries: int
+) -> DataFrame:
+    """All combinations by an equi-join on (item block, query block)."""
+    item_blocks, query_blocks = _block_counts(items, n_queries)
+    left = items.select(
+        item_id, "__words", _block(item_blocks, item_id).alias("ib"), _every(query_blocks).alias("qb")
+    )
+    right = queries.select(
+        query_id, "__query", _every(item_blocks).alias("ib"), _block(query_blocks, query_id).alias("qb")
+    )
+    return left.join(right, ["ib", "qb"]).select(
+        query_id, item_id, tanimoto("__words", "__query").alias("similarity")
+    )
+
+
 def _as_words(rows: Sequence[Sequence[int]]) -> np.ndarray:
     return (np.asarray(rows, dtype=np.int64) & WORD_MASK).astype(np.uint32)
 
@@ -132,14 +168,18 @@ def knn_similarity(
     max_shipped_bytes: int = MAX_SHIPPED_BYTES,
 ) -> DataFrame:
     """``(id, score)``: mean of each item's ``k`` best similarities to the queries."""
-    n_queries, n_words = _query_facts(queries, words)
-    if not 1 <= k <= n_queries:
-        raise ValueError("k must lie between 1 and the number of queries")
-    table = items.select(item_id, _checked(words, n_words).alias("__words"))
-    checked = queries.select(_checked(words, n_words).alias("__words"))
-    if n_queries * n_words * 8 > max_shipped_bytes:
-        return _knn_in_blocks(table, checked, k, item_id, n_queries)
-    fingerprints = [r[0] for r in checked.collect()]
+    queries = queries.select(words).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_queries, n_words = _query_facts(queries, words)
+        if not 1 <= k <= n_queries:
+            raise ValueError("k must lie between 1 and the number of queries")
+        table = items.select(item_id, _checked(words, n_words).alias("__words"))
+        checked = queries.select(_checked(words, n_words).alias("__words"))
+        if n_queries * n_words * 8 > max_shipped_bytes:
+            return _knn_in_blocks(table, checked, k, item_id, n_queries)
+        fingerprints = [r[0] for r in checked.collect()]
+    finally:
+        queries.unpersist()
     if n_queries * n_words <= UNROLL_LIMIT:
         sims = ", ".join(tanimoto_sql("__words", q) for q in fingerprints)
         best = table.select(item_id, F.sort_array(F.expr(f"array({sims})"), False).alias("__best"))
@@ -172,25 +212,16 @@ def _knn_in_blocks(
     its hash: a group is one block of items with one block of queries, bounded
     whatever values are frequent.
     """
-    item_blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
+    item_blocks, query_blocks = _block_counts(items, n_queries)
     left = items.select("__words").distinct().select(
-        "__words",
-        F.pmod(F.xxhash64("__words"), F.lit(item_blocks)).cast("int").alias("ib"),
-        every(query_blocks).alias("qb"),
+        "__words", _block(item_blocks, "__words").alias("ib"), _every(query_blocks).alias("qb")
     )
     copies = queries.groupBy("__words").count().select(
         "__words",
         F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)).cast("int"))).alias("copy"),
     )
     right = copies.select(
-        "__words",
-        every(item_blocks).alias("ib"),
-        F.pmod(F.xxhash64("__words", "copy"), F.lit(query_blocks)).cast("int").alias("qb"),
+        "__words", _every(item_blocks).alias("ib"), _block(query_blocks, "__words", "copy").alias("qb")
     )
 
     def best_in_group(block: pa.Table, candidates: pa.Table) -> pa.Table:

@@ -91,10 +91,13 @@ def test_all_forms_agree_with_brute_force(spark, monkeypatch, n_queries, k):
 def test_pairs_forms_agree(spark, monkeypatch):
     items, queries = random_words(40, 3, 3), random_words(5, 3, 4)
     left, right = table(spark, items), table(spark, queries, "q", "bigint")
-    for limit in (10**6, 0):
+    monkeypatch.setattr(sim, "ITEM_BLOCK", 10)
+    monkeypatch.setattr(sim, "QUERY_BLOCK", 2)
+    for limit, shipped in ((10**6, 10**6), (0, 10**6), (0, 0)):
         monkeypatch.setattr(sim, "UNROLL_LIMIT", limit)
-        got = {(r["q"], r["id"]): r["similarity"] for r in
-               sim.tanimoto_pairs(left, right, "id", "q").collect()}
+        pairs = sim.tanimoto_pairs(left, right, "id", "q", max_shipped_bytes=shipped)
+        got = {(r["q"], r["id"]): r["similarity"] for r in pairs.collect()}
+        assert pairs.count() == len(got)
         assert got == {
             (j, i): tanimoto(q, d) for i, d in enumerate(items) for j, q in enumerate(queries)
         }
