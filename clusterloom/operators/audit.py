@@ -6,6 +6,8 @@ stamp, which also gives the order of events.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ ARGUMENTS = r' (a[1-9][0-9]*=".*")'
 ARGUMENT_NAME = r"a[0-9]+="
 
 _NUMBERS = {"serial": "bigint", "ppid": "bigint", "pid": "bigint", "auid": "bigint",
-            "euid": "bigint", "argc": "int", "event_time": "decimal(20,3)"}
+            "euid": "bigint", "argc": "int", "event_time": "decimal(18,3)"}
 
 
 def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -44,9 +46,15 @@ def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     def field(name: str) -> Column:
         text = F.nullif(F.regexp_extract(value, PATTERNS[name], 1), F.lit(""))
+        if name not in ("type", "event_time", "serial"):
+            # a search that finds nothing reads the whole line: skip what cannot be there
+            is_exec = F.col("type") == "EXECVE"
+            text = F.when(is_exec if name == "argc" else ~is_exec, text)
         return text.try_cast(_NUMBERS[name]) if name in _NUMBERS else text
 
-    fields = lines.select(value, *[field(name).alias(name) for name in PATTERNS])
+    fields = lines.select(value, field("type").alias("type")).select(
+        value, "type", *[field(name).alias(name) for name in PATTERNS if name != "type"]
+    )
     args = F.regexp_replace(F.regexp_extract(value, ARGUMENTS, 1), ARGUMENT_NAME, "")
     return fields.select(
         *PATTERNS,
@@ -94,10 +102,11 @@ def login_pid(records: DataFrame) -> int | None:
     return None if last is None else last["pid"]
 
 
-def link_to_root(edges: DataFrame, root: int) -> DataFrame:
+def link_to_root(edges: DataFrame, root: int, rank: Sequence[str]) -> DataFrame:
     """``(pid, root, depth, path)`` of every node below ``root``.
 
-    ``edges`` has one row per pid: ``pid``, ``ppid`` and ``rank`` (sibling order).
+    ``edges`` has one row per pid: ``pid``, ``ppid`` and the columns in ``rank``,
+    which order siblings.
     Every round moves the pointer of each open node to where the node it points
     at has got, which doubles the distance covered: the number of joins grows
     with the logarithm of the depth.  Nodes that reach the root are set aside and
@@ -106,7 +115,7 @@ def link_to_root(edges: DataFrame, root: int) -> DataFrame:
     nowhere and are dropped.
     """
     at_root = F.col("up") == root
-    step = F.array(F.struct("rank", "pid"))
+    step = F.array(F.struct(*rank, "pid"))
     state = cut_lineage(edges.select("pid", F.col("ppid").alias("up"), step.alias("path")))
     linked, still_open = state.filter(at_root), state.filter(~at_root)
     while True:
@@ -146,9 +155,9 @@ def process_tree(records: DataFrame, users: DataFrame, root: int | None = None)
         if root is None:
             raise ValueError("the session has no LOGIN record")
     edges = processes.filter(F.col("ppid").isNotNull() & (F.col("pid") != F.col("ppid"))).select(
-        "pid", "ppid", F.struct("event_time", "serial").alias("rank")
+        "pid", "ppid", "event_time", "serial"
     )
-    tree = link_to_root(edges, root)
+    tree = link_to_root(edges, root, rank=["event_time", "serial"])
     named = processes.join(
         users.select(F.col("uid").alias("euid"), F.col("name").alias("user")), "euid", "left"
     ).select("pid", "exe", "args", "user", "domain")

@@ -104,7 +104,7 @@ def test_link_to_root_against_a_walk(spark, n, parent):
     parents = {i: parent(i) for i in range(2, n + 2)}
     parents[2] = 1
     edges = spark.createDataFrame([(i, p, i) for i, p in parents.items()], "pid bigint, ppid bigint, rank bigint")
-    got = {r["pid"]: [p["pid"] for p in r["path"]] for r in audit.link_to_root(edges, 1).collect()}
+    got = {r["pid"]: [p["pid"] for p in r["path"]] for r in audit.link_to_root(edges, 1, ["rank"]).collect()}
 
     def walk(i):
         return [] if i == 1 else [*walk(parents[i]), i]
