@@ -8,7 +8,6 @@ partition count gives the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MASK = 0xFFFFFFFF
@@ -50,14 +49,14 @@ def _mix_columns(prefix: str, x: str) -> tuple[list[str], str]:
 
 
 def _with_derived(df: DataFrame, columns: list[str], out: dict[str, str]) -> DataFrame:
-    """Add ``out`` (name -> SQL), computed from ``columns``, in one projection.
+    """Add ``out`` (name -> SQL), computed from the aliased ``columns``.
 
-    Spark turns the lateral aliases into stacked projections, so each step is
-    evaluated once instead of being inlined twice per use.
+    The aliases are lateral: Spark stacks projections, so each step is evaluated
+    once instead of being inlined twice per use.
     """
-    steps = df.select("*", *[F.expr(c) for c in columns])
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    return steps.select(*keep, *[F.expr(sql).alias(name) for name, sql in out.items()])
+    results = [f"{sql} AS {name}" for name, sql in out.items()]
+    steps = [c.rsplit(" AS ", 1)[1] for c in columns]
+    return df.selectExpr("*", *columns, *results).drop(*steps)
 
 
 def _key64(df: DataFrame, pk: str) -> str:

@@ -151,6 +151,14 @@ def with_nearest_dist2(
     return df.withColumn(out, nearest_dist2(spec.array))
 
 
+def nearest_sql(spec: Features, ids: Sequence[int], centres: Sequence[Sequence[float]]) -> tuple[str, str]:
+    """SQL of all squared distances, and of the nearest id given them as ``{ds}``."""
+    distances = ", ".join(squared_distance_sql(spec.elements, c) for c in centres)
+    names = ", ".join(str(int(i)) for i in ids)
+    position = "cast(array_position({ds}, array_min({ds})) AS INT)"
+    return f"array({distances})", f"element_at(array({names}), {position})"
+
+
 def with_nearest(
     df: DataFrame, spec: Features, ids: Sequence[int], centres: Sequence[Sequence[float]], out: str
 ) -> DataFrame:
@@ -159,12 +167,9 @@ def with_nearest(
     ``ids`` must ascend, so that the first position is also the lowest id.
     """
     if unrolls(spec, len(centres)):
-        distances = ", ".join(squared_distance_sql(spec.elements, c) for c in centres)
-        position = "cast(array_position(__ds, array_min(__ds)) AS INT)"
-        names = ", ".join(str(int(i)) for i in ids)
-        nearest = F.expr(f"element_at(array({names}), {position})").alias(out)
-        with_all = df.select("*", F.expr(f"array({distances})").alias("__ds"))
-        return with_all.select(*[c for c in df.columns if c != out], nearest)
+        distances, nearest = nearest_sql(spec, ids, centres)
+        with_all = df.withColumn("__ds", F.expr(distances))
+        return with_all.withColumn(out, F.expr(nearest.format(ds="__ds"))).drop("__ds")
     matrix = np.asarray(centres, dtype=np.float64)
     labels = np.asarray(ids, dtype=np.int32)
 

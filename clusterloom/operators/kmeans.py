@@ -26,6 +26,7 @@ from clusterloom.functions.vectors import (
     batch_matrix,
     feature_table,
     nearest_in_batch,
+    nearest_sql,
     unrolls,
     with_nearest,
     with_nearest_dist2,
@@ -280,16 +281,29 @@ def _round_in_numpy(
     )
 
 
+def _nearest_columns(
+    spec: Features, centres: Centroids, earlier: Centroids | None, step: int
+) -> list[str]:
+    """Select list of the first (distances) or second (nearest id) projection."""
+    columns = []
+    for name, centroids in (("__cid", centres), ("__before", earlier)):
+        if centroids is not None:
+            distances, nearest = nearest_sql(spec, *_unzip(centroids))
+            columns.append(
+                f"{nearest.format(ds='ds' + name)} AS {name}" if step else f"{distances} AS ds{name}"
+            )
+    return columns
+
+
 def _round_in_codegen(
     items: DataFrame, spec: Features, centres: Centroids | None, earlier: Centroids | None
 ) -> DataFrame:
-    labelled = items.select("__cid", *spec.columns) if centres is None else with_nearest(
-        items.select(*spec.columns), spec, *_unzip(centres), "__cid"
-    )
-    moved = "0"
-    if earlier is not None:
-        labelled = with_nearest(labelled, spec, *_unzip(earlier), "__before")
-        moved = "count_if(__before != __cid)"
+    if centres is None:
+        labelled = items.select("__cid", *spec.columns)
+    else:
+        labelled = items.selectExpr(*spec.columns, *_nearest_columns(spec, centres, earlier, 0))
+        labelled = labelled.selectExpr(*spec.columns, *_nearest_columns(spec, centres, earlier, 1))
+    moved = "0" if earlier is None else "count_if(__before != __cid)"
     means = ", ".join(f"avg({e})" for e in spec.elements)
     return labelled.groupBy(F.col("__cid").alias("cid")).agg(
         F.expr(moved).alias("moved"), F.expr(f"array({means})").alias("means")
