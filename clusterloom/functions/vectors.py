@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 # Largest (centres x features) written out as generated code.
 UNROLL_LIMIT = 64
-# Rows x centres held in one numpy block of a task.
-BLOCK_CELLS = 1 << 20
+# Rows x centres in one numpy block of a task: few enough to stay in the CPU cache.
+BLOCK_CELLS = 1 << 15
 
 VECTOR = "__v"
 USABLE = "__usable"
@@ -59,7 +59,7 @@ def feature_table(
     keep: Sequence[str | Column] = ("*",),
     size: int | None = None,
 ) -> tuple[DataFrame, Features]:
-    """``keep`` columns, the features as doubles, and whether none is missing.
+    """``keep`` columns, the features, and whether none is missing.
 
     Only these columns are read from the source.  A null or NaN feature makes
     the row unusable; an array of another length than ``size`` (by default, the
@@ -74,7 +74,10 @@ def feature_table(
         checked = F.when(F.size(column) != spec.size, F.raise_error(F.lit(
             f"arrays in {features} must all have {spec.size} elements"
         ))).otherwise(column)
-        values = [checked.cast(T.ArrayType(T.DoubleType())).alias(VECTOR)]
+        if not isinstance(df.schema[features].dataType.elementType, T.FloatType | T.DoubleType):
+            checked = checked.cast(T.ArrayType(T.DoubleType()))
+        # single precision stays as it is: half the bytes, and arithmetic widens it
+        values = [checked.alias(VECTOR)]
         usable = F.col(VECTOR).isNotNull() & F.forall(
             VECTOR, lambda x: x.isNotNull() & ~F.isnan(x)
         )
@@ -114,9 +117,11 @@ def block_distances(matrix: np.ndarray, centres: np.ndarray):
     for lo in range(0, rows, step):
         part = slice(lo, min(lo + step, rows))
         total = np.zeros((len(centres), part.stop - part.start))
+        difference = np.empty_like(total)
         for values, coordinate in zip(matrix[:, part], centres.T):
-            difference = values[None, :] - coordinate[:, None]
-            total += difference * difference
+            np.subtract(values[None, :], coordinate[:, None], out=difference)
+            np.multiply(difference, difference, out=difference)
+            total += difference
         yield part, total
 
 

@@ -64,9 +64,10 @@ def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def session_records(records: DataFrame) -> DataFrame:
-    """The records the tree is built from, with only the columns it needs."""
+    """The well-formed records the tree is built from, with only the columns it needs."""
     calls = (F.col("type") == "SYSCALL") & F.col("syscall").isin(*EXIT_CALLS, *EXEC_CALLS)
-    return records.filter(calls | F.col("type").isin("EXECVE", "LOGIN")).select(
+    wanted = calls | F.col("type").isin("EXECVE", "LOGIN")
+    return records.filter(~F.col("malformed") & wanted).select(
         "type", "event_time", "serial", "syscall", "ppid", "pid", "euid", "exe", "domain", "args"
     )
 

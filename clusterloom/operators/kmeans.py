@@ -57,7 +57,7 @@ class KMeansModel:
         nearest = with_nearest(
             table.filter(USABLE), spec, *_unzip(self.centroids), out
         )
-        return nearest.select(out, *df.columns)
+        return nearest.select(out, *[c for c in df.columns if c != out])
 
 
 def _feature_argument(features: str | Sequence[str]) -> str | list[str]:

@@ -29,8 +29,8 @@ MAX_SHIPPED_BYTES = 32 << 20
 # Rows per block of the blocked form.
 ITEM_BLOCK = 20_000
 QUERY_BLOCK = 5_000
-# Similarities held in one numpy block of a task.
-BLOCK_CELLS = 1 << 20
+# Similarities in one numpy block of a task: few enough to stay in the CPU cache.
+BLOCK_CELLS = 1 << 16
 
 
 def _checked(words: str, n_words: int) -> Column:
@@ -61,8 +61,8 @@ def _matrix(fingerprints: pa.Array) -> np.ndarray:
 def similarity_block(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Tanimoto similarities (items x queries); 0 where no bit is set at all."""
     shape = (len(items), len(queries))
-    shared = np.zeros(shape, dtype=np.int64)
-    joined = np.zeros(shape, dtype=np.int64)
+    shared = np.zeros(shape, dtype=np.int32)
+    joined = np.zeros(shape, dtype=np.int32)
     for item_word, query_word in zip(items.T, queries.T):
         shared += np.bitwise_count(item_word[:, None] & query_word[None, :])
         joined += np.bitwise_count(item_word[:, None] | query_word[None, :])

@@ -330,6 +330,7 @@ def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_like_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts; the key range is the operator's own default parameter."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan.text_like_range_scan(documents, "doc_id", "text", pattern="%ing%")
     return found.select("doc_id", F.length("text").alias("n_chars"))

@@ -83,8 +83,7 @@ def read_audit_log(spark: SparkSession, path: str | Sequence[str], auid: int | N
 def session_lines(lines: DataFrame, auid: int) -> DataFrame:
     """The lines of all events in which some record names this login user id."""
     stamp = F.regexp_extract("value", r" msg=(audit\([0-9.]+:[0-9]+\))", 1)
-    stamped = lines.withColumn("__stamp", stamp)
-    events = stamped.filter(
-        (F.col("__stamp") != "") & F.col("value").rlike(rf" auid={auid}( |$)")
-    ).select("__stamp").distinct()
+    # lines without a stamp belong to no event; left in, they would be one hot join key
+    stamped = lines.withColumn("__stamp", stamp).filter(F.col("__stamp") != "")
+    events = stamped.filter(F.col("value").rlike(rf" auid={auid}( |$)")).select("__stamp").distinct()
     return stamped.join(events, "__stamp", "left_semi").drop("__stamp")

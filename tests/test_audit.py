@@ -89,6 +89,40 @@ def test_cycles_and_orphans_end(spark):
     assert [r["pid"] for r in tree(spark, lines).collect()] == [2]
 
 
+def test_records_without_a_stamp_do_not_mix(spark):
+    broken = [line.replace("msg=audit(100.000:3): ", "") for line in exec_lines(3, 2, ["a", "wrong"])]
+    rows = tree(spark, [login(1, 1), exit_line(2, 2, 1), *broken]).collect()
+    assert [(r["pid"], r["args"]) for r in rows] == [(2, None)]
+
+
+def test_hot_parent_is_split(spark):
+    """Adaptive execution splits the join partition of a parent with most of the nodes."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        edges = spark.range(2, 40002, 1, 8).select(
+            F.col("id").alias("pid"),
+            F.when(F.col("id") == 2, 1).when(F.col("id") % 3 > 0, 2).otherwise(F.col("id") - 1).alias("ppid"),
+            F.col("id").alias("rank"),
+        )
+        open_nodes = edges.filter("ppid != 1").select("pid", F.col("ppid").alias("up"))
+        reached = edges.select(F.col("pid").alias("up"), F.col("ppid").alias("next_up"))
+        joined = open_nodes.join(reached, "up")
+        assert len(joined.collect()) == 39999
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert audit.link_to_root(edges, 1, ["rank"]).count() == 40000
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_no_login(spark):
     with pytest.raises(ValueError):
         tree(spark, [exit_line(2, 2, 1)])
