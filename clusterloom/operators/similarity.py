@@ -145,10 +145,10 @@ def _pairs_in_blocks(
     """All combinations by an equi-join on (item block, query block)."""
     item_blocks, query_blocks = _block_counts(items, n_queries)
     left = items.select(
-        item_id, "__words", _block(item_blocks, item_id).alias("ib"), _every(query_blocks).alias("qb")
+        item_id, "__words", _block(item_blocks, item_id, "__words").alias("ib"), _every(query_blocks).alias("qb")
     )
     right = queries.select(
-        query_id, "__query", _every(item_blocks).alias("ib"), _block(query_blocks, query_id).alias("qb")
+        query_id, "__query", _every(item_blocks).alias("ib"), _block(query_blocks, query_id, "__query").alias("qb")
     )
     return left.join(right, ["ib", "qb"]).select(
         query_id, item_id, tanimoto("__words", "__query").alias("similarity")
