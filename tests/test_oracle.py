@@ -5,11 +5,10 @@ import math
 import pytest
 
 import __spark_entry__ as contract
+from clusterloom.plans.oracle import ORACLE_SQL as ORACLE
+from clusterloom.plans.queries import QUERIES
 from tests.conftest import SF_DIR
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
-
 
 def canonical(rows, order):
     """Rows as sorted text, with columns by name and integral floats unified."""
@@ -25,6 +24,8 @@ def canonical(rows, order):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
