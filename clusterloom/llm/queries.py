@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clusterloom.llm import url_filters
+from clusterloom.llm import fingerprints, mixing, simhash, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,23 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
+    "op5_simhash": op5_simhash,
+    "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
