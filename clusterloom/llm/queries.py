@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import fingerprints, mixing, simhash, url_filters
+from clusterloom.llm import fingerprints, mixing, packing, simhash, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +52,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }

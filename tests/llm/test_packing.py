@@ -1,0 +1,99 @@
+import math
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from clusterloom.llm.packing import WordEncoder, best_fit, pack_documents
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, shard string, row string, length string"
+ODD = [
+    "", " ", "a b it's\x1cI'll 12345 é ́x q", "ends <|endoftext|>here <|ENDOFTEXT|> <|startoftext|>",
+    "ΣΑΣ İstanbul ﬁ 中文字 힣가 \x85 q w don't'se ''s", "x" * 5000 + " y", "mark... (two), three!? a.b, c-\n-d",
+    "ᄀ ᅡ 가 é ́ Å", "tab\tnew\nline\x0bv\x0cf\r em", "Word%%% word&&& WORD*** word$$$,",
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def test_word_ids_are_text_ids(tokenizer):
+    for texts in (ODD, ODD[::-1], [t + " " + u for t in ODD for u in ODD]):
+        encoder = WordEncoder(PATH)
+        got = [list(np.frombuffer(b, "<u4")) for b in encoder.ids([t.encode() for t in texts])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def check(rows, docs, tokenizer, capacity=2048):
+    """An exact round trip: pieces make up the documents and fill the sequences."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == {d for d, _ in docs}
+    for d, text in docs:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        parts = sorted(by_doc[d], key=lambda r: r.piece)
+        assert [r.start for r in parts] == list(range(0, len(ids), capacity))
+        for r in parts:
+            cut = ids[r.start : r.start + capacity]
+            assert (r.length, r.ids_crc32) == (len(cut), zlib.crc32(cut.tobytes()))
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    total = sum(r.length for r in rows)
+    return len(by_sequence), total
+
+
+def test_round_trip(spark, tokenizer):
+    draw = np.random.default_rng(1)
+    words = ["the", "Idiot", "zeitgeist", "été", "x1", "and,", "q."]
+    docs = [(i, t) for i, t in enumerate(ODD)] + [(100, None)]
+    docs += [(200 + i, " ".join(draw.choice(words, int(draw.pareto(1) * 200) + 1))) for i in range(400)]
+    docs += [(1000, " ".join(["word"] * 2047)), (1001, " ".join(["word"] * 2048)), (1002, " ".join(["word"] * 4096))]
+    table = spark.createDataFrame([(d, t, "s", "r", "l") for d, t in docs], SCHEMA)
+    for size in (8192, 64):
+        rows = pack_documents(table, PATH, pieces_per_shard=size).collect()
+        n, total = check(rows, docs, tokenizer)
+        assert n <= math.ceil(total / 2048) * 1.03 + 8192 / size
+
+
+def test_every_capacity_holds():
+    draw = np.random.default_rng(2)
+    lengths = draw.integers(1, 1000, 3000)
+    for score in ("norm", "dot"):
+        sequence, offset = best_fit(lengths, (2048, 6, 1_000_000), score)
+        assert (sequence >= 0).all()
+        counts = np.bincount(sequence)
+        assert counts.max() <= 6
+        assert np.bincount(sequence, weights=lengths).max() <= 2048
+        assert np.bincount(sequence, weights=lengths.astype(float) ** 2).max() <= 1_000_000
+        least = max(lengths.sum() / 2048, len(lengths) / 6, (lengths.astype(float) ** 2).sum() / 1e6)
+        assert len(counts) <= 1.25 * least
+        for s in range(len(counts)):
+            own = np.argsort(offset[sequence == s])
+            assert list(offset[sequence == s][own]) == list(np.cumsum([0, *lengths[sequence == s][own]])[:-1])
+
+
+def test_best_fit_by_hand():
+    sequence, offset = best_fit(np.array([6, 5, 4, 3, 2]), (10, math.inf, math.inf))
+    assert list(sequence) == [0, 1, 0, 1, 1] and list(offset) == [0, 0, 6, 5, 8]
+    assert [len(a) for a in best_fit(np.array([], dtype=int), (10, math.inf, math.inf))] == [0, 0]
+
+
+def test_attention_limit_cuts_pieces_and_edge_tables(spark, tokenizer):
+    docs = [(1, "word " * 100), (1, "word " * 100), (None, None)]
+    table = spark.createDataFrame([(d, t, "", "", "") for d, t in docs], SCHEMA)
+    rows = pack_documents(table, PATH, max_attention=1600).collect()
+    assert sorted(r.length for r in rows) == [1, 21, 21, 40, 40, 40, 40]
+    assert len(pack_documents(table, PATH, max_documents=1).collect()) == 3
+    assert pack_documents(table.limit(0), PATH).collect() == []
