@@ -21,5 +21,33 @@ SELECT page_id, host, path,
        coalesce((SELECT arg_max(verdict, length(h || p)) FROM r
         WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)), 'allow') AS verdict
 FROM u
+""",
+    # every turn once for each speaker; spans from running lengths
+    "op4_chat": """
+WITH t AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
+    FROM conversations
+), p AS (
+    SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), r AS (
+    SELECT t.conv_id, p.perspective, t.turn // 64 AS segment, t.turn, t.speaker, t.text AS said,
+           CASE WHEN t.speaker = 'system' THEN '<|system|>' || chr(10)
+                WHEN t.speaker = p.perspective THEN '<|assistant|>' || chr(10)
+                ELSE '<|user|>' || t.speaker || chr(10) END AS head,
+           t.text || '<|end|>' AS body,
+           t.speaker = p.perspective AS own
+    FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), l AS (
+    SELECT *, sum(length(head) + length(body) + 1) OVER (
+        PARTITION BY conv_id, perspective, segment ORDER BY turn, speaker, said
+        ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS lo
+    FROM r
+)
+SELECT conv_id, segment, 0 AS part, perspective, count(*) AS n_turns,
+       count(*) FILTER (own) AS n_own,
+       string_agg(head || body || chr(10), '' ORDER BY turn, speaker, said) AS text,
+       coalesce(string_agg(CAST(lo AS VARCHAR) || '-' || CAST(lo + length(body) AS VARCHAR), ','
+                ORDER BY turn, speaker, said) FILTER (own), '') AS spans
+FROM l GROUP BY conv_id, perspective, segment
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import fingerprints, mixing, packing, simhash, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["lo"], s["hi"])), ",")
+    return rendered.withColumn("spans", spans)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
@@ -50,7 +60,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embeddings": op1_embeddings,
     "op2_url_filters": op2_url_filters,
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
