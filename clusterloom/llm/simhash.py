@@ -19,14 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.lineage import cut_lineage
-from clusterloom.llm.common import connected_components
+from clusterloom.llm.common import connected_components, partitions
 
 SEED = 42
 BITS = 64
@@ -134,23 +133,46 @@ class _Groups:
         return True
 
 
-def _tree_links(radius: int):
+def _tree_links(codes: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of one shard part: its tree is searched by the shard's queries."""
+    tree_codes = codes[in_tree].tolist()
+    tree, groups, out = BKTree(tree_codes), _Groups(), []
+    for code in codes[asks].tolist():
+        for at in tree.within(code, radius):
+            other = tree_codes[at]
+            if other != code and groups.join(code, other):
+                out.append((code, other))
+    return out
 
-    def links(shard: pd.DataFrame) -> pd.DataFrame:
-        codes = [int(c) & (2**BITS - 1) for c in shard["bits"]]
-        tree_codes = [c for c, t in zip(codes, shard["in_tree"]) if t]
-        tree, groups, out = BKTree(tree_codes), _Groups(), []
-        for code, asks in zip(codes, shard["asks"]):
-            if asks:
-                for at in tree.within(code, radius):
-                    other = tree_codes[at]
-                    if other != code and groups.join(code, other):
-                        out.append((code, other))
-        pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return links
+def _search_shards(radius: int):
+    """Over rows sorted by shard; a shard that goes on in the next batch waits for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def links(columns: list[np.ndarray]) -> pa.RecordBatch:
+            shard, bits, in_tree, asks = columns
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            codes, out = bits.view(np.uint64), []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
+                out += _tree_links(codes[lo:hi], in_tree[lo:hi], asks[lo:hi], radius)
+            pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(pair) for pair in zip(held, columns)] if held else columns
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield links([c[:last] for c in held])
+                held = [c[last:] for c in held]
+        if held:
+            yield links(held)
+
+    return run
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -225,14 +247,14 @@ def close_links(codes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_
             )
         ),
     )
+    # a hash names the shard; two that share one are merged, which adds no false link
     rows = rows.select(
-        "path", "same", "visit.part", "visit.slice", "bits",
+        F.xxhash64("path", "same", "visit.part", "visit.slice").alias("shard"), "bits",
         (F.col("own") == F.col("visit.part")).alias("in_tree"),
         (F.col("own") == F.col("visit.slice")).alias("asks"),
     )
-    return rows.groupBy("path", "same", "part", "slice").applyInPandas(
-        _tree_links(radius), "a long, b long"
-    )
+    dealt = rows.repartition(partitions(codes), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_search_shards(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
