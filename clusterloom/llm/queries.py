@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, suffixes, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with repeated passages, as word spans."""
+    documents = table(spark, sf_dir, "documents")
+    found = suffixes.repeated_passages(documents)
+    ids = documents.select("doc_id", suffixes.row_hash().alias("row"))
+
+    def text(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["lo"], s["hi"])), ",")
+
+    return ids.join(found, "row").select(
+        "doc_id", text("passages").alias("passages"), text("extra").alias("extra")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
@@ -64,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op6_suffixes": op6_suffixes,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
