@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, suffixes, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, suffixes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["lo"], s["hi"])), ",")
@@ -76,6 +80,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_url_filters": op2_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_suffixes": op6_suffixes,
