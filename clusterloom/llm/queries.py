@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, mixing, packing, simhash, suffixes, toxicity, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, simhash, suffixes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_suffixes": op6_suffixes,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }

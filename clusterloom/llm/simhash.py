@@ -279,6 +279,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_bits, "bits").select(id_col, "bits", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one of the smallest id.
+
+    Of rows that share this id, the one with the smallest hash of id and text
+    stays; a null id is the largest. Equal rows of one id and text are one row.
+    """
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), row.alias("row"))
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text", **options)
+    stays = found.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("__row")).distinct()
+    kept = docs.withColumn("__row", row).join(stays, "__row", "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+
+
 def as_hex(bits: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))

@@ -1,17 +1,68 @@
-"""From raw documents to packed sequences, by the operators of ``clusterloom.llm``."""
+"""From raw documents to packed sequences, by the operators of ``clusterloom.llm``.
+
+Each stage works on what its predecessor kept and writes its own decisions into
+the documents: toxic ones go, one of each group of near copies stays, repeated
+passages are cut to their first copy, sources are brought to their target
+weights, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clusterloom.llm import mixing, packing, simhash, suffixes, toxicity
+
+#: Bits by which fingerprints of near copies differ: texts that share 0.8 of their
+#: five-word shingles are mostly within six bits, unrelated ones about 32 apart.
+COPY_RADIUS = 6
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents predicted to be toxic."""
+    return toxicity.ordinary_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash.one_of_each_group(docs, radius=COPY_RADIUS)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 words and more that an earlier document has."""
+    return suffixes.deduplicated(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes, repeats and cuts documents to their sources' targets."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all documents into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Hashes of the fits, shingles and draws are beyond SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

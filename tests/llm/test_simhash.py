@@ -100,3 +100,16 @@ def test_null_ids_and_empty_table(spark):
     got = {(r.doc_id, r.bits == simhash.fingerprint("z")): r.component_id for r in near_duplicates(table).collect()}
     assert got == {(None, False): 3, (3, False): 3, (None, True): None}
     assert near_duplicates(table.limit(0)).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    draw = random.Random(4)
+    text = " ".join(f"w{draw.randrange(500)}" for _ in range(2000))
+    rows = [(9, text), (3, text + " more"), (5, "clean and short"), (None, text), (None, "nothing like it"),
+            (7, ""), (6, None), (8, "same row"), (8, "same row"), (11, " ".join(f"x{draw.random()}" for _ in range(50)))]
+    table = spark.createDataFrame([(d, t, f"b{d}", 7) for d, t in rows], SCHEMA)
+    kept = simhash.one_of_each_group(table)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id, r.bits) for r in kept.collect()), key=str)
+    assert got == sorted([(3, "b3"), (5, "b5"), (None, "bNone"), (6, "b6"), (8, "b8"), (11, "b11")], key=str)
+    assert simhash.one_of_each_group(table.limit(0)).collect() == []
