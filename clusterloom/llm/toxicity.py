@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.lineage import cut_lineage
+
 #: Labelled rows of each class that the fit uses, those with the smallest hash.
 FIT_ROWS = 12_000
 #: Of four fitted rows, one calibrates and the others train dictionaries.
@@ -161,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(picked), "id"
     )
-    rows = _one_of_copies(rows).select(
+    # no more than the rows of the fit, which several jobs read
+    rows = cut_lineage(_one_of_copies(rows).select(
         "text", "toxic", (F.pmod("order", F.lit(CALIBRATE_ONE_OF)) == 0).alias("calibrates")
-    )
+    ))
     sizes = {(r.toxic, r.calibrates): r.n for r in rows.groupBy("toxic", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = {t: sum(v for (toxic, _), v in sizes.items() if toxic == t) for t in (0, 1)}
     if not n[0] or not n[1]:
