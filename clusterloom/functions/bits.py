@@ -103,6 +103,19 @@ def popc_xor(
     return _same_bits(a_bits, b_bits, _count_xor(a, b))
 
 
+def word_count(a: Column, b: Column, operator: str, n_words: int) -> Column:
+    """Bits set in two word arrays combined by ``bitwiseAND``, ``bitwiseOR`` or ``bitwiseXOR``.
+
+    For fingerprints that are kept as words: generated code, no Python.
+    """
+    total = None
+    for i in range(n_words):
+        word = getattr(a[i].cast("bigint"), operator)(b[i].cast("bigint"))
+        count = F.bit_count(word.bitwiseAND(F.lit(WORD_MASK)))
+        total = count if total is None else total + count
+    return total
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """``popc``, ``popc_and``, ``popc_or`` and ``popc_xor`` for SQL users.
 

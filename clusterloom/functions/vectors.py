@@ -4,7 +4,9 @@ A feature set is either several numeric columns or one array column of fixed
 length.  Few centre values are written into the expression, which stays inside
 whole-stage codegen; many go through numpy on Arrow batches, because generated
 code beyond the JIT's method limit runs several times slower.  Both add the
-squared differences in feature order, so they agree to the last bit.
+squared differences in feature order, so distances agree to the last bit. Means
+do not: numpy and ``avg`` add rows in different order, so centroids of the two
+forms may differ in the last bits, and a row on a border in its cluster.
 """
 
 from __future__ import annotations
@@ -94,6 +96,16 @@ def feature_table(
     return table.withColumn(USABLE, F.coalesce(usable, F.lit(False))), spec
 
 
+def filled(table: DataFrame, spec: Features) -> DataFrame:
+    """The table with zeros for the features of unusable rows, which keeps their rows countable."""
+    usable = F.col(USABLE)
+    if spec.is_array:
+        kind = table.schema[VECTOR].dataType.elementType
+        zeros = F.array_repeat(F.lit(0).cast(kind), spec.size)
+        return table.withColumn(VECTOR, F.when(usable, F.col(VECTOR)).otherwise(zeros))
+    return table.withColumns({c: F.when(usable, F.col(c)).otherwise(F.lit(0.0)) for c in spec.columns})
+
+
 def sql_double(x: float) -> str:
     return f"{float(x)!r}D"
 

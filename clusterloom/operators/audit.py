@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from clusterloom.lineage import cut_lineage
 
-# Names and numbers of the two system calls on x86, 64 and 32 bit.
-EXIT_CALLS = ("exit_group", "231", "252")
-EXEC_CALLS = ("execve", "59", "11")
+# The two system calls by architecture (x86-64, x86, arm64), which
+# alone says what a number means; logs that were interpreted have names instead.
+EXIT_CALLS = {"c000003e": "231", "40000003": "252", "c00000b7": "94"}
+EXEC_CALLS = {"c000003e": "59", "40000003": "11", "c00000b7": "221"}
+EXIT_NAME, EXEC_NAME = "exit_group", "execve"
 
 # The fields read from a record.
 PATTERNS = {
     "type": r"^type=([A-Z_]+) ",
     "event_time": r" msg=audit\(([0-9]+\.[0-9]+):[0-9]+\)",
     "serial": r" msg=audit\([0-9]+\.[0-9]+:([0-9]+)\)",
+    "arch": r" arch=([^ ]+)",
     "syscall": r" syscall=([^ ]+)",
     "ppid": r" ppid=([0-9]+)",
     "pid": r" pid=([0-9]+)",
@@ -31,8 +34,9 @@ PATTERNS = {
     "domain": r" subj=[^: ]+:[^: ]+:([^: ]+)",
     "argc": r" argc=([0-9]+)",
 }
-ARGUMENTS = r' (a[1-9][0-9]*=".*")'
-ARGUMENT_NAME = r"a[0-9]+="
+# One argument: its number, and a text in quotes or, if it has blanks, quotes or
+# bytes beyond ASCII, its bytes as hexadecimal digits.
+ARGUMENT = r' a([0-9]+)=("[^"]*"|[0-9A-F]+)(?= |$)'
 
 _NUMBERS = {"serial": "bigint", "ppid": "bigint", "pid": "bigint", "auid": "bigint",
             "euid": "bigint", "argc": "int", "event_time": "decimal(18,3)"}
@@ -41,8 +45,9 @@ _NUMBERS = {"serial": "bigint", "ppid": "bigint", "pid": "bigint", "auid": "bigi
 def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
     """Typed columns of every line; ``malformed`` marks lines without type or stamp.
 
-    A field that a record does not have is null.  ``args`` are the quoted
-    arguments after the program name, empty when there are none.
+    A field that a record does not have is null.  ``args`` are the arguments after
+    the program name in quotes, by number, empty when there are none; those that
+    the log has as hexadecimal digits are decoded.
     """
     def field(name: str) -> Column:
         text = F.nullif(F.regexp_extract(value, PATTERNS[name], 1), F.lit(""))
@@ -55,20 +60,59 @@ def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
     fields = lines.select(value, field("type").alias("type")).select(
         value, "type", *[field(name).alias(name) for name in PATTERNS if name != "type"]
     )
-    args = F.regexp_replace(F.regexp_extract(value, ARGUMENTS, 1), ARGUMENT_NAME, "")
     return fields.select(
         *PATTERNS,
-        F.when(F.col("type") == "EXECVE", F.when(F.col("argc") == 0, "").otherwise(args)).alias("args"),
+        F.when(F.col("type") == "EXECVE", arguments(F.col(value))).alias("args"),
         (F.col("type").isNull() | F.col("serial").isNull()).alias("malformed"),
     )
 
 
+def arguments(line: Column) -> Column:
+    """The arguments of an EXECVE line from number 1 on, each in quotes."""
+    numbers = F.regexp_extract_all(line, F.lit(ARGUMENT), F.lit(1))
+    texts = F.regexp_extract_all(line, F.lit(ARGUMENT), F.lit(2))
+    found = F.zip_with(numbers, texts, lambda n, t: F.struct(n.cast("int").alias("n"), t.alias("t")))
+
+    def shown(argument: Column) -> Column:
+        decoded = F.make_valid_utf8(F.unhex(argument["t"]).cast("string"))
+        return F.when(F.startswith(argument["t"], F.lit('"')), argument["t"]).otherwise(
+            F.concat(F.lit('"'), decoded, F.lit('"'))
+        )
+
+    after_program = F.array_sort(F.filter(found, lambda a: a["n"] >= 1))
+    return F.array_join(F.transform(after_program, shown), " ")
+
+
+def _is_call(calls: dict[str, str], name: str) -> Column:
+    numbered = F.concat_ws(":", "arch", "syscall").isin(*[f"{a}:{n}" for a, n in calls.items()])
+    return (F.col("type") == "SYSCALL") & ((F.col("syscall") == name) | numbered)
+
+
+def is_exit() -> Column:
+    return F.coalesce(_is_call(EXIT_CALLS, EXIT_NAME), F.lit(False))
+
+
+def is_exec() -> Column:
+    return F.coalesce(_is_call(EXEC_CALLS, EXEC_NAME), F.lit(False))
+
+
+def line_counts(records: DataFrame) -> DataFrame:
+    """One row ``(n_lines, n_malformed, n_session)``: what the tree is, and is not, built from."""
+    return records.agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("malformed").alias("n_malformed"),
+        F.count_if(~F.col("malformed") & (is_exit() | is_exec() | F.col("type").isin("EXECVE", "LOGIN"))).alias("n_session"),
+    )
+
+
 def session_records(records: DataFrame) -> DataFrame:
-    """The well-formed records the tree is built from, with only the columns it needs."""
-    calls = (F.col("type") == "SYSCALL") & F.col("syscall").isin(*EXIT_CALLS, *EXEC_CALLS)
-    wanted = calls | F.col("type").isin("EXECVE", "LOGIN")
+    """The well-formed records the tree is built from, with only the columns it needs.
+
+    :func:`line_counts` tells how many lines are left out.
+    """
+    wanted = is_exit() | is_exec() | F.col("type").isin("EXECVE", "LOGIN")
     return records.filter(~F.col("malformed") & wanted).select(
-        "type", "event_time", "serial", "syscall", "ppid", "pid", "euid", "exe", "domain", "args"
+        "type", "event_time", "serial", "arch", "syscall", "ppid", "pid", "euid", "exe", "domain", "args"
     )
 
 
@@ -80,15 +124,14 @@ def process_table(records: DataFrame) -> DataFrame:
     by pid already, so it moves no row again.
     """
     order = ["event_time", "serial"]
-    is_call = F.col("type") == "SYSCALL"
-    exits = records.filter(is_call & F.col("syscall").isin(*EXIT_CALLS) & F.col("pid").isNotNull())
+    exits = records.filter(is_exit() & F.col("pid").isNotNull())
     processes = exits.groupBy("pid").agg(
         F.max(F.struct(*order, "ppid", "exe", "euid", "domain")).alias("last")
     ).select("pid", "last.*")
-    is_exec = (is_call & F.col("syscall").isin(*EXEC_CALLS)) | (F.col("type") == "EXECVE")
-    execs = records.filter(is_exec).groupBy(*order).agg(
-        F.max(F.when(is_call, F.col("pid"))).alias("pid"),
-        F.max(F.when(~is_call, F.col("args"))).alias("args"),
+    is_text = F.col("type") == "EXECVE"
+    execs = records.filter(is_exec() | is_text).groupBy(*order).agg(
+        F.max(F.when(~is_text, F.col("pid"))).alias("pid"),
+        F.max(F.when(is_text, F.col("args"))).alias("args"),
     ).filter(F.col("pid").isNotNull() & F.col("args").isNotNull())
     arguments = execs.groupBy("pid").agg(F.max(F.struct(*order, "args")).alias("last")).select(
         "pid", "last.args"
@@ -110,8 +153,8 @@ def link_to_root(edges: DataFrame, root: int, rank: Sequence[str]) -> DataFrame:
     which order siblings.
     Every round moves the pointer of each open node to where the node it points
     at has got, which doubles the distance covered: the number of joins grows
-    with the logarithm of the depth.  Nodes that reach the root are set aside and
-    never written again.  A round that brings none to the root ends the loop;
+    with the logarithm of the depth.  Nodes that reach the root are set aside; later
+    rounds join with them, but do not write them again.  A round that brings none to the root ends the loop;
     what is left then hangs on a cycle.  Pointers that leave the table end
     nowhere and are dropped.
     """

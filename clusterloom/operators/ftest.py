@@ -65,29 +65,44 @@ def f_test_two_groups(
     return _with_test(pair, alpha)
 
 
-def f_test_all_pairs(
+def f_test_pairs(
     df: DataFrame,
     group: str,
     values: str | Sequence[str] | Column,
+    pairs: DataFrame,
     alpha: float = 0.05,
-    n_blocks: int = 8,
 ) -> DataFrame:
-    """The test for every pair of groups ``group1 < group2``.
+    """The test for each row ``(group1, group2)`` of ``pairs``; one row for each."""
+    stats = group_variance(df, group, values)
+
+    def side(n: int) -> DataFrame:
+        return stats.select(
+            F.col(group).alias(f"group{n}"), F.col("n").alias(f"n{n}"), F.col("var").alias(f"var{n}")
+        )
+
+    chosen = pairs.select("group1", "group2")
+    return _with_test(chosen.join(side(1), "group1").join(side(2), "group2"), alpha)
 
-    One output row per pair is the result itself.  The pairing is an equi-join
-    on (block of group1, block of group2): ``n_blocks**2`` tasks can share it,
-    and each holds only its own blocks.
+
+def f_test_vs_control(
+    df: DataFrame,
+    group: str,
+    values: str | Sequence[str] | Column,
+    control: object,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """The test of every other group, as ``group1``, against ``control``.
+
+    The control's one row of statistics is looked up first; it is part of every
+    result row.
     """
     stats = group_variance(df, group, values)
-    block = F.pmod(F.xxhash64(group), F.lit(n_blocks)).cast("int")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = stats.select(
-        F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("var").alias("var1"),
-        block.alias("block1"), every_block.alias("block2"),
-    )
-    right = stats.select(
-        F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("var").alias("var2"),
-        every_block.alias("block1"), block.alias("block2"),
+    found = stats.filter(F.col(group) == F.lit(control)).first()
+    if found is None:
+        raise ValueError(f"there is no group {control!r}")
+    others = stats.filter(F.col(group) != F.lit(control)).select(
+        F.col(group).alias("group1"), F.lit(control).cast(df.schema[group].dataType).alias("group2"),
+        F.col("n").alias("n1"), F.col("var").alias("var1"),
+        F.lit(found["n"]).alias("n2"), F.lit(found["var"]).cast("double").alias("var2"),
     )
-    pairs = left.join(right, ["block1", "block2"]).filter(F.col("group1") < F.col("group2"))
-    return _with_test(pairs.drop("block1", "block2"), alpha)
+    return _with_test(others, alpha)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clusterloom.functions.hashing import with_mix32, with_uniform
 from clusterloom.functions.vectors import (
@@ -25,6 +26,7 @@ from clusterloom.functions.vectors import (
     Features,
     batch_matrix,
     feature_table,
+    filled,
     nearest_in_batch,
     nearest_sql,
     unrolls,
@@ -51,13 +53,15 @@ class KMeansModel:
     n_excluded: int = 0
 
     def assign(self, df: DataFrame, out: str = "cid") -> DataFrame:
-        """``out`` beside all columns of ``df``; rows with a missing feature are left out."""
+        """``out`` beside all columns of ``df``; null for rows with a missing feature.
+
+        ``n_excluded`` says how many rows the fit left out for that reason.
+        """
         size = len(self.centroids[0][1])
-        table, spec = feature_table(df, _feature_argument(self.features), size=size)
-        nearest = with_nearest(
-            table.filter(USABLE), spec, *_unzip(self.centroids), out
-        )
-        return nearest.select(out, *[c for c in df.columns if c != out])
+        keep = [c for c in df.columns if c != out]
+        table, spec = feature_table(df, _feature_argument(self.features), size=size, keep=keep)
+        nearest = with_nearest(filled(table, spec), spec, *_unzip(self.centroids), "__nearest")
+        return nearest.select(F.when(F.col(USABLE), F.col("__nearest")).alias(out), *keep)
 
 
 def _feature_argument(features: str | Sequence[str]) -> str | list[str]:
@@ -115,7 +119,9 @@ def init_hash(df: DataFrame, pk: str, k: int, seed: int = 1, out: str = "cid") -
 
 
 def init_roundrobin(df: DataFrame, pk: str, k: int, out: str = "cid") -> DataFrame:
-    """Add ``out`` = pk mod k (the key plays the row number)."""
+    """Add ``out`` = pk mod k (the key plays the row number, so it must be integral)."""
+    if not isinstance(df.schema[pk].dataType, T.IntegralType):
+        raise ValueError(f"round-robin clusters need an integral key, and {pk} is none")
     return df.withColumn(out, F.pmod(F.col(pk), F.lit(k)).cast("int"))
 
 
@@ -167,16 +173,23 @@ def _plus_centroids(items: DataFrame, spec: Features, pk: str, k: int, seed: int
 
 
 def kmeans_plus_plus(
-    df: DataFrame, pk: str, features: str | Sequence[str], k: int, seed: int = 1
+    df: DataFrame,
+    pk: str,
+    features: str | Sequence[str],
+    k: int,
+    seed: int = 1,
+    storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
 ) -> DataFrame:
-    """k-means++ seeds as ``(cid, feature values)``."""
+    """k-means++ seeds as ``(cid, feature values)``; ``storage=None`` rereads the source."""
     table, spec = feature_table(df, features, keep=[pk])
     check_arguments(k, spec.size)
-    with_storage = table.persist(StorageLevel.MEMORY_AND_DISK)
+    if storage is not None:
+        table = table.persist(storage)
     try:
-        centroids = _plus_centroids(with_storage.filter(USABLE), spec, pk, k, seed)
+        centroids = _plus_centroids(table.filter(USABLE), spec, pk, k, seed)
     finally:
-        with_storage.unpersist()
+        if storage is not None:
+            table.unpersist()
     return centroid_table(df, centroids, features)
 
 
@@ -434,13 +447,13 @@ def kmeans_join_back(
     features: Sequence[str],
     k: int,
     n_rounds: int = 10,
-    n_items: int | None = None,
+    max_key: object | None = None,
 ) -> DataFrame:
-    """``(pk, cluster, features)`` for the items with ``pk <= n_items``.
+    """``(pk, cluster, features)``, of the items with ``pk <= max_key`` if one is given.
 
     The assignment is a column added to the source row, so the join of cluster
     ids with their source rows needs no shuffle at all.
     """
-    items = df if n_items is None else df.filter(F.col(pk) <= n_items)
+    items = df if max_key is None else df.filter(F.col(pk) <= F.lit(max_key))
     clusters = kmeans(items, pk, features, k, init="hash", max_iter=n_rounds, empty="zero")
     return clusters.select(pk, F.col("cid").alias("cluster"), *features)

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The parameters bound to the scan by default.
+# Fixed value: the pattern of the scan by default.
 PATTERN = "%aaa%"
-LOWEST_ID = 100
-HIGHEST_ID = 99900
 
 
 def text_like_range_scan(
@@ -16,11 +14,16 @@ def text_like_range_scan(
     pk: str,
     text: str,
     pattern: str = PATTERN,
-    lowest: int = LOWEST_ID,
-    highest: int = HIGHEST_ID,
+    lowest: object | None = None,
+    highest: object | None = None,
 ) -> DataFrame:
-    """Rows whose text matches ``pattern`` and whose key lies in the range.
+    """Rows whose text matches ``pattern`` and whose key lies in the range, ends included.
 
-    The range is pushed to the source, so row groups outside it are skipped.
+    An end that is not given is open. The range is pushed to the source, so row
+    groups outside it are skipped.
     """
-    return df.filter(F.col(pk).between(lowest, highest) & F.col(text).like(pattern))
+    if lowest is not None:
+        df = df.filter(F.col(pk) >= F.lit(lowest))
+    if highest is not None:
+        df = df.filter(F.col(pk) <= F.lit(highest))
+    return df.filter(F.col(text).like(pattern))

@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.functions.bits import WORD_MASK, tanimoto, tanimoto_sql
+from clusterloom.functions.bits import WORD_MASK, tanimoto_sql, word_count
 
 # Largest (queries x words) written out as generated code.
 UNROLL_LIMIT = 64
@@ -87,43 +87,16 @@ def _mean_of_best(best: Column, k: int) -> Column:
     return (total / k).cast("float")
 
 
-def tanimoto_pairs(
-    items: DataFrame,
-    queries: DataFrame,
-    item_id: str,
-    query_id: str,
-    words: str = "words",
-    max_shipped_bytes: int = MAX_SHIPPED_BYTES,
-) -> DataFrame:
-    """``(query id, item id, similarity)`` for every query and item.
+def tanimoto_rows(pairs: DataFrame, a: str, b: str, n_words: int, out: str = "similarity") -> DataFrame:
+    """``pairs`` with the similarity of the fingerprints in columns ``a`` and ``b``.
 
-    One row per combination is the result itself.  Queries within the size bound
-    are shipped to the tasks, so there is no join.
+    Which pairs are compared is up to the caller, so there is one row for each
+    pair given, and generated code without a shuffle.
     """
-    queries = queries.select(query_id, words).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_queries, n_words = _query_facts(queries, words)
-        table = items.select(item_id, _checked(words, n_words).alias("__words"))
-        checked = queries.select(query_id, _checked(words, n_words).alias("__query"))
-        if n_queries * n_words * 8 > max_shipped_bytes:
-            return _pairs_in_blocks(table, checked, item_id, query_id, n_queries)
-        rows = checked.collect()
-    finally:
-        queries.unpersist()
-    ids = F.array(*[F.lit(r[query_id]) for r in rows])
-    if n_queries * n_words <= UNROLL_LIMIT:
-        sims = ", ".join(tanimoto_sql("__words", r["__query"]) for r in rows)
-        scored = table.withColumn("__sims", F.expr(f"array({sims})"))
-    else:
-        matrix = _as_words([r["__query"] for r in rows])
-
-        @F.arrow_udf("array<double>")
-        def similarities(fingerprints: pa.Array) -> pa.Array:
-            return pa.array(list(similarity_block(_matrix(fingerprints), matrix)))
-
-        scored = table.withColumn("__sims", similarities("__words"))
-    pairs = scored.select(item_id, F.inline(F.arrays_zip(ids.alias("q"), "__sims")))
-    return pairs.toDF(item_id, query_id, "similarity").select(query_id, item_id, "similarity")
+    checked = pairs.withColumns({c: _checked(c, n_words) for c in (a, b)})
+    shared = word_count(F.col(a), F.col(b), "bitwiseAND", n_words)
+    joined = word_count(F.col(a), F.col(b), "bitwiseOR", n_words)
+    return checked.withColumn(out, F.coalesce(F.try_divide(shared, joined), F.lit(0.0)))
 
 
 def _every(n: int) -> Column:
@@ -139,22 +112,6 @@ def _block_counts(items: DataFrame, n_queries: int) -> tuple[int, int]:
     return max(1, -(-items.count() // ITEM_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
 
-def _pairs_in_blocks(
-    items: DataFrame, queries: DataFrame, item_id: str, query_id: str, n_queries: int
-) -> DataFrame:
-    """All combinations by an equi-join on (item block, query block)."""
-    item_blocks, query_blocks = _block_counts(items, n_queries)
-    left = items.select(
-        item_id, "__words", _block(item_blocks, item_id, "__words").alias("ib"), _every(query_blocks).alias("qb")
-    )
-    right = queries.select(
-        query_id, "__query", _every(item_blocks).alias("ib"), _block(query_blocks, query_id, "__query").alias("qb")
-    )
-    return left.join(right, ["ib", "qb"]).select(
-        query_id, item_id, tanimoto("__words", "__query").alias("similarity")
-    )
-
-
 def _as_words(rows: Sequence[Sequence[int]]) -> np.ndarray:
     return (np.asarray(rows, dtype=np.int64) & WORD_MASK).astype(np.uint32)
 

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.hashing import with_uniform
-from clusterloom.functions.vectors import USABLE, feature_table, with_nearest_dist2
+from clusterloom.functions.vectors import USABLE, feature_table, filled, with_nearest_dist2
 from clusterloom.lineage import cut_lineage
 
 
 def distance_table(
     df: DataFrame, pk: str, features: str | Sequence[str], pivot: Sequence[float]
 ) -> DataFrame:
-    """``(pk, dist)``: Euclidean distance of every item to ``pivot``, map-only."""
+    """``(pk, dist)``: Euclidean distance of every item to ``pivot``, map-only.
+
+    An item with a missing feature has no distance.
+    """
     table, spec = feature_table(df, features, keep=[pk], size=len(pivot))
-    near = with_nearest_dist2(table.filter(USABLE), spec, [pivot], "__d2")
-    return near.select(pk, F.sqrt("__d2").alias("dist"))
+    near = with_nearest_dist2(filled(table, spec), spec, [pivot], "__d2")
+    return near.select(pk, F.when(F.col(USABLE), F.sqrt("__d2")).alias("dist"))
 
 
 def pick_item(
@@ -44,6 +47,7 @@ def minmax_subset(
     seed: int = 1,
     start_pk: object | None = None,
     rounds_per_checkpoint: int = 10,
+    storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
 ) -> DataFrame:
     """``(pick, pk, label, dist)`` of ``n_rounds + 1`` items.
 
@@ -53,12 +57,15 @@ def minmax_subset(
 
     A round is one map and one aggregate that returns a single row.  The distance
     to older picks is stored with the items every ``rounds_per_checkpoint``
-    rounds, so a round compares with a bounded number of recent picks.
+    rounds, so a round compares with a bounded number of recent picks. Items with a
+    missing feature are never picked. ``storage=None`` rereads the source.
     """
     if n_rounds < 0:
         raise ValueError("n_rounds must not be negative")
     table, spec = feature_table(df, features, keep=[pk, label])
-    items = table.filter(USABLE).drop(USABLE).persist(StorageLevel.MEMORY_AND_DISK)
+    items = table.filter(USABLE).drop(USABLE)
+    if storage is not None:
+        items = items.persist(storage)
     stored = items
     try:
         if start_pk is None:
@@ -84,7 +91,8 @@ def minmax_subset(
             ranked = with_nearest_dist2(stored, spec, recent, "__near")
             if "__d2" in stored.columns:
                 ranked = ranked.withColumn("__near", F.least("__near", "__d2"))
-            if len(recent) == rounds_per_checkpoint:
+            # not for the last pick, which needs one aggregate more
+            if len(recent) == rounds_per_checkpoint and len(picks) < n_rounds:
                 stored = cut_lineage(
                     ranked.select(pk, label, *spec.columns, F.col("__near").alias("__d2"))
                 )
@@ -93,7 +101,8 @@ def minmax_subset(
             order = "__far"
             ranked = ranked.withColumn(order, -F.col("__near"))
     finally:
-        items.unpersist()
+        if storage is not None:
+            items.unpersist()
     if not picks:
         raise ValueError("no item to start from")
     schema = df.select(

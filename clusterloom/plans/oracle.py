@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from clusterloom.plans.queries import K, MOVED_CENTROIDS, START_CENTROIDS
+from clusterloom.plans.queries import CONVERGED_PASSES, K, MOVED_CENTROIDS, START_CENTROIDS
 
 M = 4294967295
 D = 64
@@ -29,6 +29,7 @@ def _hash_ctes(source: str, name: str, x: str, out: str) -> list[str]:
         f"{previous} AS (SELECT *, ({start}::BIGINT + ({x})) & {M} AS ha, "
         f"{start}::BIGINT AS hb, {start}::BIGINT AS hc FROM {source})"
     ]
+    # fixed values: targets, sources and rotations of the final mixing steps
     rounds = [("hc", "hb", 14), ("ha", "hc", 11), ("hb", "ha", 25), ("hc", "hb", 16),
               ("ha", "hc", 4), ("hb", "ha", 14), ("hc", "hb", 24)]
     for n, (t, s, r) in enumerate(rounds, 1):
@@ -284,6 +285,7 @@ def _dominant(clusters: str) -> str:
         WHERE r = 1"""
 
 
+# fixed values: hours and days of the time slices
 SLICES = {
     "daytime": "extract(hour FROM ts) BETWEEN 7 AND 17",
     "night": "extract(hour FROM ts) BETWEEN 18 AND 23 OR extract(hour FROM ts) BETWEEN 0 AND 7",
@@ -293,7 +295,15 @@ SLICES = {
 
 # --- audit -----------------------------------------------------------------
 
-AUDIT_LINES = """source AS (
+# the first argument as the log has it, and as it is shown
+FIRST_LOGGED = """CASE pid % 4 WHEN 0 THEN '"' || user_id || '"' WHEN 1 THEN '"--data1=' || user_id || '"'
+        WHEN 2 THEN hex('-f a2=' || user_id || ' "x"') ELSE '"a3=' || user_id || '"' END"""
+FIRST_SHOWN = """'"' || CASE pid % 4 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN '--data1=' || user_id
+        WHEN 2 THEN '-f a2=' || user_id || ' "x"' ELSE 'a3=' || user_id END || '"'"""
+ARGS = f"""CASE pid % 3 WHEN 0 THEN '' WHEN 1 THEN {FIRST_SHOWN}
+        ELSE {FIRST_SHOWN} || ' "' || pid || '"' END"""
+
+AUDIT_LINES = f"""source AS (
     SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, user_id, event_type, props,
         (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') AS stamp
     FROM events),
@@ -303,21 +313,27 @@ tails AS (
         || '" subj=system_u:system_r:' || event_type || '_t:s0' AS tail
     FROM source),
 lines AS (
-    SELECT 'type=SYSCALL msg=audit(' || stamp || ':' || (3 * pid)
-        || '): arch=c000003e syscall=59 success=yes' || tail AS value FROM tails
+    SELECT 'type=SYSCALL msg=audit(' || stamp || ':' || (3 * pid) || '): '
+        || CASE WHEN pid % 7 = 0 THEN 'arch=c00000b7 syscall=221' ELSE 'arch=c000003e syscall=59' END
+        || ' success=yes' || tail AS value, NULL AS args FROM tails
     UNION ALL
     SELECT 'type=EXECVE msg=audit(' || stamp || ':' || (3 * pid) || '): argc=' || (pid % 3 + 1)
         || ' a0="' || event_type || '"'
-        || CASE WHEN pid % 3 > 0 THEN ' a1="' || user_id || '"' ELSE '' END
-        || CASE WHEN pid % 3 > 1 THEN ' a2="' || pid || '"' ELSE '' END FROM source
+        || CASE WHEN pid % 3 > 0 THEN ' a1=' || {FIRST_LOGGED} ELSE '' END
+        || CASE WHEN pid % 3 > 1 THEN ' a2="' || pid || '"' ELSE '' END, {ARGS} FROM source
+    UNION ALL
+    SELECT 'type=SYSCALL msg=audit(' || stamp || ':' || (3 * pid + 1) || '): '
+        || CASE WHEN pid % 7 = 0 THEN 'arch=c00000b7 syscall=94' ELSE 'arch=c000003e syscall=231' END
+        || tail, NULL FROM tails
     UNION ALL
-    SELECT 'type=SYSCALL msg=audit(' || stamp || ':' || (3 * pid + 1)
-        || '): arch=c000003e syscall=231' || tail FROM tails
+    SELECT 'type=SYSCALL msg=audit(' || stamp || ':' || (3 * pid + 2)
+        || '): arch=c000003e syscall=252 ppid=1 pid=' || (pid + 5000000000) || ' auid=1001 euid=0', NULL
+    FROM source WHERE event_type = 'click'
     UNION ALL
-    SELECT 'type=LOGIN msg=audit(' || stamp || ':' || (3 * pid + 2) || '): pid=1 uid=0 auid=1000'
+    SELECT 'type=LOGIN msg=audit(' || stamp || ':' || (3 * pid + 2) || '): pid=1 uid=0 auid=1000', NULL
     FROM source WHERE event_type = 'signup'
     UNION ALL
-    SELECT props FROM source WHERE event_type = 'error' AND props IS NOT NULL)"""
+    SELECT props, NULL FROM source WHERE event_type = 'error' AND props IS NOT NULL)"""
 
 
 def _field(pattern: str) -> str:
@@ -325,7 +341,8 @@ def _field(pattern: str) -> str:
 
 
 AUDIT_PARSE = with_([AUDIT_LINES, f"""fields AS (
-    SELECT value, {_field('^type=([A-Z_]+) ')} AS type,
+    SELECT value, args, {_field('^type=([A-Z_]+) ')} AS type,
+        {_field(' arch=([^ ]+)')} AS arch,
         {_field(r' msg=audit\(([0-9]+\.[0-9]+):[0-9]+\)')} AS event_time,
         coalesce({_field(r' msg=audit\([0-9]+\.[0-9]+:([0-9]+)\)')}::BIGINT, -1) AS serial,
         {_field(' syscall=([^ ]+)')} AS syscall,
@@ -337,15 +354,10 @@ AUDIT_PARSE = with_([AUDIT_LINES, f"""fields AS (
         {_field(' subj=[^: ]+:[^: ]+:([^: ]+)')} AS domain,
         coalesce({_field(' argc=([0-9]+)')}::INTEGER, -1) AS argc
     FROM lines)"""], """
-    SELECT * EXCLUDE (value),
-        CASE WHEN type = 'EXECVE' THEN
-            CASE WHEN argc = 0 THEN '' ELSE regexp_replace(
-                regexp_extract(value, ' (a[1-9][0-9]*=".*")', 1), 'a[0-9]+=', '', 'g') END
-        END AS args,
-        type IS NULL OR serial = -1 AS malformed
+    SELECT * EXCLUDE (value), type IS NULL OR serial = -1 AS malformed
     FROM fields""")
 
-PROCESS_TREE = """
+PROCESS_TREE = f"""
 WITH RECURSIVE nodes AS (
     SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, event_type, user_id FROM events),
 tree AS (
@@ -355,8 +367,7 @@ tree AS (
     FROM nodes n JOIN tree t ON n.ppid = t.pid),
 shown AS (
     SELECT t.*, '/usr/bin/' || event_type AS exe,
-        CASE pid % 3 WHEN 0 THEN '' WHEN 1 THEN '"' || user_id || '"'
-            ELSE '"' || user_id || '" "' || pid || '"' END AS args,
+        {ARGS} AS args,
         c_name AS "user", event_type || '_t' AS domain
     FROM tree t JOIN nodes n USING (pid) LEFT JOIN customer ON c_custkey = n.user_id)
 SELECT root, depth::INTEGER AS depth, path, pid, exe, args, "user", domain,
@@ -373,8 +384,15 @@ ORACLE_SQL: dict[str, str] = {
     "popc_and": _pair_sql("a.b[i] * b.b[i]"),
     "popc_or": _pair_sql("greatest(a.b[i], b.b[i])"),
     "popc_xor": _pair_sql("abs(a.b[i] - b.b[i])"),
-    "tanimoto_pairs": with_([BITS, QUERY_BITS], """
-        SELECT label, vec_id, round(similarity, 6) AS similarity FROM sims"""),
+    "popc_sql": with_([BITS], f"""
+        SELECT a.vec_id, list_sum(a.b)::INTEGER AS n_bits,
+            list_sum([a.b[i] * b.b[i] FOR i IN range(1, {D + 1})])::INTEGER AS n_and,
+            list_sum([greatest(a.b[i], b.b[i]) FOR i IN range(1, {D + 1})])::INTEGER AS n_or,
+            list_sum([abs(a.b[i] - b.b[i]) FOR i IN range(1, {D + 1})])::INTEGER AS n_xor
+        FROM bits a JOIN bits b ON b.vec_id = a.vec_id + 1"""),
+    "tanimoto_rows": with_([BITS, QUERY_BITS], """
+        SELECT s.label, s.vec_id, round(similarity, 6) AS similarity
+        FROM sims s JOIN bits b ON b.vec_id = s.vec_id AND b.label = s.label"""),
     "knn_similarity": KNN,
     "knn_similarity_blocked": KNN,
     "f_test_two_groups": with_([
@@ -387,14 +405,14 @@ ORACLE_SQL: dict[str, str] = {
             FROM stats a, stats b WHERE a.g = 'A' AND b.g = 'N')""",
         *_bounds_ctes("pairs"),
     ], f"SELECT {F_COLUMNS} FROM pairs JOIN bounds USING (id)"),
-    "f_test_all_pairs": with_([
+    "f_test_vs_control": with_([
         """stats AS (
             SELECT event_type AS g, count(*) AS n, var_samp(value) AS v
             FROM events GROUP BY event_type)""",
         """pairs AS (
             SELECT row_number() OVER () AS id, a.g AS group1, b.g AS group2,
                 a.n AS n1, a.v AS var1, b.n AS n2, b.v AS var2
-            FROM stats a JOIN stats b ON a.g < b.g)""",
+            FROM stats a JOIN stats b ON a.g <> b.g AND b.g = 'click')""",
         *_bounds_ctes("pairs"),
     ], f"SELECT group1, group2, {F_COLUMNS} FROM pairs JOIN bounds USING (id)"),
     "kmeans_validate": with_([ITEMS, """keys AS (
@@ -428,6 +446,24 @@ ORACLE_SQL: dict[str, str] = {
         _assign_cte("after", "items", "moved"),
     ], """SELECT count(*) AS n_changed
         FROM before o JOIN after n ON o.event_id = n.event_id AND o.cid != n.cid"""),
+    "kmeans_changes_tables": with_([
+        ITEMS,
+        _fixed_centroids("start", START_CENTROIDS),
+        _fixed_centroids("moved", MOVED_CENTROIDS),
+        _assign_cte("before", "items", "start"),
+        _assign_cte("after", "items", "moved"),
+    ], """SELECT count(*) AS n_changed
+        FROM before o JOIN after n ON o.event_id = n.event_id AND o.cid != n.cid"""),
+    "kmeans_converged": with_([
+        ITEMS, *_hash_clusters("conv", CONVERGED_PASSES),
+        *[f"""moved_{n} AS (
+            SELECT {n} AS pass, count(*) FILTER (o.cid != n.cid) AS n_changed
+            FROM conv_a{n - 1} o JOIN conv_a{n} n USING (event_id))"""
+          for n in range(2, CONVERGED_PASSES)],
+        "moved AS (" + " UNION ALL ".join(f"SELECT * FROM moved_{n}" for n in range(2, CONVERGED_PASSES)) + ")",
+        "stop AS (SELECT min(pass) AS pass FROM moved WHERE n_changed <= (SELECT count(*) // 20 FROM items))",
+    ], """SELECT m.pass::INTEGER AS pass, n_changed FROM moved m, stop s
+        WHERE s.pass IS NULL OR m.pass <= s.pass"""),
     "kmeans_sql": with_(
         [*RANDOM_INIT, "items_sql AS (SELECT * FROM items)",
          *_lloyd_ctes("labelled", "sql", 10, "drop")],
@@ -444,7 +480,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT event_id, cid FROM rr_final"),
     "kmeans_join_back": with_(
         [ITEMS, *_hash_clusters(
-            "all", 10, "event_id <= (SELECT count(*) FROM events)", ("value", "hour"))],
+            "all", 10, "true", ("value", "hour"))],
         "SELECT event_id, cid AS cluster, value, hour FROM all_final"),
     "distance_table": with_(PIVOT, """
         SELECT v.vec_id, round(list_distance(v.e, p.e), 6) AS dist FROM vectors v, pick_0 p"""),
@@ -464,13 +500,20 @@ ORACLE_SQL: dict[str, str] = {
                 WHEN 3 THEN 'green' WHEN 4 THEN 'purple' ELSE 'orange' END || '|weight:3|'
                 || c_nationkey::VARCHAR || ',' || c_acctbal::VARCHAR || '|'
                 || c_acctbal::VARCHAR || ',' || c_nationkey::VARCHAR AS path_entry
-            FROM summary s JOIN customer ON c_custkey = s.report_id
-            ORDER BY s.report_id LIMIT 125)"""],
-        """SELECT 'http://maps.google.com/maps/api/staticmap?zoom=11&size=640x480&scale=2&'
-            || string_agg(path_entry, '&' ORDER BY report_id) || '&sensor=false' AS url FROM paths"""),
+            FROM summary s JOIN customer ON c_custkey = s.report_id)"""],
+        """SELECT report_id // 125 AS page, 'http://maps.google.com/maps/api/staticmap?zoom=11&size=640x480&scale=2&'
+            || string_agg(path_entry, '&' ORDER BY report_id) || '&sensor=false' AS url FROM paths
+        GROUP BY report_id // 125"""),
     "audit_parse": AUDIT_PARSE,
+    "audit_counts": with_([AUDIT_LINES], """
+        SELECT count(*) AS n_lines, count(*) FILTER (NOT starts_with(value, 'type=')) AS n_malformed,
+            count(*) FILTER (starts_with(value, 'type=') AND value NOT LIKE '% syscall=252 %') AS n_session
+        FROM lines"""),
+    "audit_session": with_([AUDIT_LINES], """
+        SELECT 'SYSCALL' AS type, count(*) AS n FROM lines WHERE value LIKE '% auid=1001 %' HAVING count(*) > 0"""),
     "process_tree": PROCESS_TREE,
+    "process_tree_lines": f"SELECT path, line FROM ({PROCESS_TREE})",
     "text_like_range_scan": """
         SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
-        WHERE text LIKE '%ing%' AND doc_id BETWEEN 100 AND 99900""",
+        WHERE text LIKE '%ing%'""",
 }

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from clusterloom.functions import bits
 from clusterloom.operators import audit, ftest, kmeans, scan, similarity, subset
 from clusterloom.plans import traffic
+from clusterloom.sources import session_lines
 
 DIMENSIONS = 64
 K = 5
+CONVERGED_PASSES = 15
+SESSION_USER = 1001
 FEATURES = ["value", "hour", "dow"]
 START_CENTROIDS = [
     (0, [10.0, 3.0, 0.0]),
@@ -86,10 +89,8 @@ def label_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bit strings of each item and of the item with the next key."""
-    items = fingerprints(spark, sf_dir).select(
-        "vec_id", bits.words_to_binary("words", DIMENSIONS // 32).alias("a")
-    )
+    """The words of each item and of the item with the next key."""
+    items = fingerprints(spark, sf_dir).select("vec_id", F.col("words").alias("a"))
     following = items.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     return items.join(following, "vec_id")
 
@@ -98,7 +99,9 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines of a session in which each event is a process.
 
     Every event gives an exec and an exit event; sign-ups also log in, and
-    errors leave a line that is no audit record.
+    errors leave a line that is no audit record. Machines are x86-64 or arm64.
+    First arguments look like arguments themselves or are hexadecimal, and clicks
+    make a process that lives on call what would be an exit on 32-bit x86.
     """
     e = table(spark, sf_dir, "events").select(
         (F.col("event_id") + 2).alias("pid"),
@@ -116,12 +119,21 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "' comm=\"', event_type, '\" exe=\"/usr/bin/', event_type, '\" "
         "subj=system_u:system_r:', event_type, '_t:s0')"
     )
+    first = (
+        "CASE pid % 4 WHEN 0 THEN concat('\"', user_id, '\"') WHEN 1 THEN concat('\"--data1=', user_id, '\"') "
+        "WHEN 2 THEN hex(concat('-f a2=', user_id, ' \"x\"')) ELSE concat('\"a3=', user_id, '\"') END"
+    )
+    arm = "pid % 7 = 0"
     lines = [
-        f"concat('type=SYSCALL ', {stamp('3 * pid')}, 'arch=c000003e syscall=59 success=yes', {process})",
+        f"concat('type=SYSCALL ', {stamp('3 * pid')}, CASE WHEN {arm} THEN 'arch=c00000b7 syscall=221' "
+        f"ELSE 'arch=c000003e syscall=59' END, ' success=yes', {process})",
         f"concat('type=EXECVE ', {stamp('3 * pid')}, 'argc=', pid % 3 + 1, ' a0=\"', event_type, '\"', "
-        "CASE WHEN pid % 3 > 0 THEN concat(' a1=\"', user_id, '\"') ELSE '' END, "
+        f"CASE WHEN pid % 3 > 0 THEN concat(' a1=', {first}) ELSE '' END, "
         "CASE WHEN pid % 3 > 1 THEN concat(' a2=\"', pid, '\"') ELSE '' END)",
-        f"concat('type=SYSCALL ', {stamp('3 * pid + 1')}, 'arch=c000003e syscall=231', {process})",
+        f"concat('type=SYSCALL ', {stamp('3 * pid + 1')}, CASE WHEN {arm} THEN 'arch=c00000b7 syscall=94' "
+        f"ELSE 'arch=c000003e syscall=231' END, {process})",
+        f"CASE WHEN event_type = 'click' THEN concat('type=SYSCALL ', {stamp('3 * pid + 2')}, "
+        "'arch=c000003e syscall=252 ppid=1 pid=', pid + 5000000000, ' auid=1001 euid=0') END",
         f"CASE WHEN event_type = 'signup' THEN concat('type=LOGIN ', {stamp('3 * pid + 2')}, "
         "'pid=1 uid=0 auid=1000') END",
         "CASE WHEN event_type = 'error' THEN props END",
@@ -151,18 +163,33 @@ def popc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("vec_id", bits.popc("a").alias("n_bits"))
 
 
-def _pair_query(function) -> Query:
+def _pair_query(operator: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counted = function(F.col("a"), F.col("b")).alias("n_bits")
+        counted = bits.word_count(F.col("a"), F.col("b"), operator, DIMENSIONS // 32).alias("n_bits")
         return bit_pairs(spark, sf_dir).select("vec_id", counted)
 
     return run
 
 
-def tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = fingerprints(spark, sf_dir).drop("label")
-    pairs = similarity.tanimoto_pairs(items, label_fingerprints(spark, sf_dir), "vec_id", "label")
-    return rounded(pairs, ["similarity"])
+def popc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts by the SQL functions, over bit strings as binary."""
+    bits.register_sql_functions(spark)
+    n = DIMENSIONS // 32
+    pairs = bit_pairs(spark, sf_dir).select(
+        "vec_id", bits.words_to_binary("a", n).alias("a"), bits.words_to_binary("b", n).alias("b")
+    )
+    return pairs.selectExpr(
+        "vec_id", "popc(a) AS n_bits", "popc_and(a, b) AS n_and", "popc_or(a, b) AS n_or",
+        "popc_xor(a, b) AS n_xor",
+    )
+
+
+def tanimoto_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with the fingerprint of its own label."""
+    labels = label_fingerprints(spark, sf_dir).withColumnRenamed("words", "label_words")
+    pairs = fingerprints(spark, sf_dir).join(labels, "label")
+    compared = similarity.tanimoto_rows(pairs, "words", "label_words", DIMENSIONS // 32)
+    return rounded(compared.select("vec_id", "label", "similarity"), ["similarity"])
 
 
 def knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +216,9 @@ def f_test_two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_test(ftest.f_test_two_groups(lineitem, "l_returnflag", values, "A", "N"))
 
 
-def f_test_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f_test_vs_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return _rounded_test(ftest.f_test_all_pairs(events, "event_type", "value"))
+    return _rounded_test(ftest.f_test_vs_control(events, "event_type", "value", "click"))
 
 
 def kmeans_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +260,25 @@ def kmeans_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.kmeans_changes(both, "cid", "new_cid")
 
 
+def kmeans_changes_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same count from two cluster tables."""
+    items = measurements(spark, sf_dir)
+    old = kmeans.kmeans_assign(items, FEATURES, START_CENTROIDS).select("event_id", "cid")
+    new = kmeans.kmeans_assign(items, FEATURES, MOVED_CENTROIDS).select("event_id", "cid")
+    return kmeans.kmeans_changes_between(old, new, "event_id")
+
+
+def kmeans_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows moved in each pass, up to the pass in which no more than 5 % of them moved."""
+    items = measurements(spark, sf_dir)
+    model = kmeans.kmeans_fit(
+        items, "event_id", FEATURES, K, init="hash", max_iter=CONVERGED_PASSES, empty="zero",
+        changed_at_most=items.count() // 20,
+    )
+    rows = list(enumerate(model.changes, 2))
+    return spark.createDataFrame(rows, "pass int, n_changed long")
+
+
 def kmeans_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = kmeans.kmeans(
         measurements(spark, sf_dir), "event_id", FEATURES, K, init="random", max_iter=10
@@ -265,11 +311,8 @@ def kmeans_roundrobin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the item limit at the number of items, so that it keeps all of them."""
     items = measurements(spark, sf_dir)
-    return kmeans.kmeans_join_back(
-        items, "event_id", ["value", "hour"], K, n_rounds=10, n_items=items.count()
-    )
+    return kmeans.kmeans_join_back(items, "event_id", ["value", "hour"], K, n_rounds=10)
 
 
 def distance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +365,22 @@ def audit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.line_counts(audit.audit_parse(audit_lines(spark, sf_dir)))
+
+
+def audit_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one login user, as numbers of lines by record type."""
+    lines = session_lines(audit_lines(spark, sf_dir), SESSION_USER)
+    kind = F.regexp_extract("value", "^type=([A-Z]+)", 1)
+    return lines.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def process_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed lines; sorted by ``path``, they are the tree in pre-order."""
+    return process_tree(spark, sf_dir).select("path", "line")
+
+
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = audit.audit_parse(audit_lines(spark, sf_dir))
     tree = audit.process_tree(records, users(spark, sf_dir))
@@ -330,7 +389,7 @@ def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_like_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts; the key range is the operator's own default parameter."""
+    """Whole texts of the whole table: both ends of the key range are open."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan.text_like_range_scan(documents, "doc_id", "text", pattern="%ing%")
     return found.select("doc_id", F.length("text").alias("n_chars"))
@@ -338,14 +397,15 @@ def text_like_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "popc": popc,
-    "popc_and": _pair_query(bits.popc_and),
-    "popc_or": _pair_query(bits.popc_or),
-    "popc_xor": _pair_query(bits.popc_xor),
-    "tanimoto_pairs": tanimoto_pairs,
+    "popc_and": _pair_query("bitwiseAND"),
+    "popc_or": _pair_query("bitwiseOR"),
+    "popc_xor": _pair_query("bitwiseXOR"),
+    "popc_sql": popc_sql,
+    "tanimoto_rows": tanimoto_rows,
     "knn_similarity": knn_similarity,
     "knn_similarity_blocked": knn_similarity_blocked,
     "f_test_two_groups": f_test_two_groups,
-    "f_test_all_pairs": f_test_all_pairs,
+    "f_test_vs_control": f_test_vs_control,
     "kmeans_validate": kmeans_validate,
     "kmeans_init_random": kmeans_init_random,
     "kmeans_init_hash": kmeans_init_hash,
@@ -354,6 +414,8 @@ QUERIES: dict[str, Query] = {
     "kmeans_assign": kmeans_assign,
     "kmeans_update": kmeans_update,
     "kmeans_changes": kmeans_changes,
+    "kmeans_changes_tables": kmeans_changes_tables,
+    "kmeans_converged": kmeans_converged,
     "kmeans_sql": kmeans_sql,
     "kmeans_sql_plus": kmeans_sql_plus,
     "kmeans_sql_vectors": kmeans_sql_vectors,
@@ -366,6 +428,9 @@ QUERIES: dict[str, Query] = {
     "traffic_time_slices": traffic_time_slices,
     "traffic_map_report": traffic_map_report,
     "audit_parse": audit_parse,
+    "audit_counts": audit_counts,
+    "audit_session": audit_session,
     "process_tree": process_tree,
+    "process_tree_lines": process_tree_lines,
     "text_like_range_scan": text_like_range_scan,
 }

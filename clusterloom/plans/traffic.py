@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from clusterloom.operators.kmeans import kmeans
 
-# The colour of each cluster, the map request and its path limit.
+# The colour of each cluster, the map request and the paths on one map.
 CLUSTER_COLOURS = {1: "red", 2: "blue", 3: "green", 4: "purple"}
 OTHER_COLOUR = "orange"
 MAP_PREFIX = "http://maps.google.com/maps/api/staticmap?zoom=11&size=640x480&scale=2&"
 MAP_SUFFIX = "&sensor=false"
-MAX_PATHS = 125
+PATHS_PER_MAP = 125
 
 
 def _hour(ts: Column) -> Column:
@@ -26,6 +26,7 @@ def _day(ts: Column) -> Column:
     return F.dayofweek(ts) - 1
 
 
+# Hours and days of the time slices.
 TIME_SLICES = {
     "daytime": lambda ts: _hour(ts).between(7, 17),
     "night": lambda ts: _hour(ts).between(18, 23) | _hour(ts).between(0, 7),
@@ -39,15 +40,18 @@ def time_slice(df: DataFrame, ts: str, name: str) -> DataFrame:
     return df.filter(TIME_SLICES[name](F.col(ts)))
 
 
-def dominant_cluster(clusters: DataFrame, key: str, cid: str = "cid") -> DataFrame:
-    """``(key, cid, c)``: the most frequent cluster per key, the lowest on ties.
+def dominant_cluster(clusters: DataFrame, key: str, k: int, cid: str = "cid") -> DataFrame:
+    """``(key, cid, c)``: the most frequent of clusters 0 to k - 1 per key, the lowest on ties.
 
-    Rows are counted per (key, cluster) with map-side partial counts, so a key
-    that holds much of the table reaches the second step as a handful of rows.
+    One aggregate counts all clusters side by side, with map-side partial counts,
+    so a key that holds much of the table is a handful of rows in the shuffle.
+    Rows without a cluster do not count; a key with no others is left out.
     """
-    counts = clusters.groupBy(key, cid).agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("c")).alias("fewer"), cid)).alias("b"))
-    return best.select(key, F.col(f"b.{cid}").alias(cid), (-F.col("b.fewer")).alias("c"))
+    counted = clusters.groupBy(key).agg(*[F.count_if(F.col(cid) == i).alias(f"__n{i}") for i in range(k)])
+    counts = F.array(*[f"__n{i}" for i in range(k)])
+    best = counted.select(key, counts.alias("__counts")).withColumn("c", F.array_max("__counts"))
+    place = (F.array_position("__counts", F.col("c")) - 1).cast("int")
+    return best.filter("c > 0").select(key, place.alias(cid), "c")
 
 
 def cluster_reports(
@@ -63,7 +67,7 @@ def cluster_reports(
     clusters = kmeans(
         measurements, pk, features, k, init="hash", max_iter=n_rounds, empty="zero", seed=seed
     )
-    return dominant_cluster(clusters, key)
+    return dominant_cluster(clusters, key, k)
 
 
 def map_paths(summary: DataFrame, roads: DataFrame, key: str, points: Sequence[str]) -> DataFrame:
@@ -87,9 +91,18 @@ def map_report(
     roads: DataFrame,
     key: str,
     points: Sequence[str],
-    max_paths: int = MAX_PATHS,
+    paths_per_map: int = PATHS_PER_MAP,
 ) -> DataFrame:
-    """One row ``url`` that draws the first ``max_paths`` roads in key order."""
-    paths = map_paths(summary, roads, key, points).orderBy(key).limit(max_paths)
+    """``(page, url)``: maps that together draw every road.
+
+    A page holds the roads with the same ``key div paths_per_map``, in key order,
+    so no sort over all roads is needed. The key is integral and names one road;
+    repeated roads, which could overfill a page, are an error.
+    """
+    page = F.floor(F.col(key) / paths_per_map).cast("long").alias("page")
+    paths = map_paths(summary, roads, key, points).groupBy(page)
     joined = F.expr(f"listagg(path_entry, '&') WITHIN GROUP (ORDER BY `{key}`)")
-    return paths.agg(F.concat(F.lit(MAP_PREFIX), joined, F.lit(MAP_SUFFIX)).alias("url"))
+    pages = paths.agg(joined.alias("joined"), F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("roads"))
+    repeated = F.raise_error(F.lit(f"a road has more than one row of the same {key}"))
+    url = F.concat(F.lit(MAP_PREFIX), F.col("joined"), F.lit(MAP_SUFFIX))
+    return pages.select("page", F.when(F.col("n") != F.col("roads"), repeated).otherwise(url).alias("url"))

@@ -7,6 +7,7 @@ from clusterloom.sources.readers import (
     read_items,
     read_traffic_metadata,
     read_traffic_rawdata,
+    session_lines,
 )
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "read_items",
     "read_traffic_metadata",
     "read_traffic_rawdata",
+    "session_lines",
 ]

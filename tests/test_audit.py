@@ -40,6 +40,31 @@ def test_parse(spark):
     assert (rows[3]["type"], rows[3]["pid"], rows[3]["auid"]) == ("LOGIN", 3, 42)
 
 
+def test_arguments_one_by_one(spark):
+    head = "type=EXECVE msg=audit(1.0:2): argc=3 "
+    cases = {
+        'a0="x" a1="--data1=5" a2="z"': '"--data1=5" "z"',
+        'a0="x" a1=2D6C2061 a2="z"': '"-l a" "z"',
+        'a0=612061313D4142 a1="a2=FF" a10="ten" a2="two"': '"a2=FF" "two" "ten"',
+        'a0="x"': "", 'a0="x" a1=C3A9FF': '"é\ufffd"', 'a0="a1=00 a2=00" a1=""': '""',
+    }
+    lines = spark.createDataFrame([(head + c,) for c in cases], "value string")
+    assert [r["args"] for r in audit.audit_parse(lines).collect()] == list(cases.values())
+
+
+def test_numbers_mean_what_the_architecture_says(spark):
+    def call(serial, pid, arch, number):
+        return f'type=SYSCALL msg=audit(1.0:{serial}): arch={arch} syscall={number} ppid=1 pid={pid} euid=0 exe="/x"'
+
+    lines = [
+        login(1, 1, "0.5"), call(2, 20, "c000003e", 231), call(3, 30, "c000003e", 252), call(4, 40, "40000003", 252),
+        call(5, 50, "c00000b7", 94), call(6, 60, "c00000b7", 231), call(7, 70, "x86_64", "exit_group"), "junk",
+    ]
+    assert sorted(r["pid"] for r in tree(spark, lines).collect()) == [20, 40, 50, 70]
+    records = audit.audit_parse(spark.createDataFrame([(v,) for v in lines], "value string"))
+    assert tuple(audit.line_counts(records).first()) == (8, 1, 5)
+
+
 def test_tree_golden(spark):
     lines = [login(1, 1), exit_line(2, 2, 1), exit_line(3, 3, 2), exit_line(4, 4, 2)]
     rows = tree(spark, lines).orderBy("path").collect()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.functions.fdist import f_quantile
-from clusterloom.operators.ftest import f_test_all_pairs, f_test_two_groups
+from clusterloom.operators.ftest import f_test_pairs, f_test_two_groups, f_test_vs_control
 
 
 def test_quantile_golden():
@@ -52,18 +52,21 @@ def test_missing_group_and_zero_variance(spark):
     assert f_test_two_groups(constant, "g", "x", "a", "b").first()["f"] is None
 
 
-@pytest.mark.parametrize("n_blocks", [1, 3])
-def test_all_pairs(spark, n_blocks):
+def test_against_a_control_and_given_pairs(spark):
     df = groups(spark)
-    rows = f_test_all_pairs(df, "g", "x", n_blocks=n_blocks).orderBy("group1", "group2").collect()
-    assert [(r["group1"], r["group2"]) for r in rows] == [("a", "b"), ("a", "c"), ("b", "c")]
+    rows = f_test_vs_control(df, "g", "x", "c").orderBy("group1").collect()
+    assert [(r["group1"], r["group2"]) for r in rows] == [("a", "c"), ("b", "c")]
+    pairs = spark.createDataFrame([("a", "c"), ("c", "a"), ("a", "none")], "group1 string, group2 string")
+    given = f_test_pairs(df, "g", "x", pairs).orderBy("group1").collect()
+    assert [(r["group1"], r["group2"]) for r in given] == [("a", "c"), ("c", "a")]
     single = f_test_two_groups(df, "g", "x", "a", "c").first().asDict()
     for name, value in single.items():
-        assert rows[1][name] == value
+        assert rows[0][name] == given[0][name] == value
+    assert given[1]["f"] == pytest.approx(1 / given[0]["f"])
 
 
-def test_all_pairs_has_no_cross_join(spark):
-    plan = f_test_all_pairs(groups(spark), "g", "x")._jdf.queryExecution().executedPlan().toString()
+def test_control_has_no_cross_join(spark):
+    plan = f_test_vs_control(groups(spark), "g", "x", "a")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 

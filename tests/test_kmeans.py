@@ -110,11 +110,23 @@ def test_within_cluster_sum_never_rises(spark):
     assert all(later <= earlier + 1e-9 for earlier, later in zip(sums, sums[1:]))
 
 
-def test_rows_with_missing_features_are_left_out_and_counted(spark):
+def test_rows_with_missing_features_are_counted_and_have_no_cluster(spark):
     df = line(spark, [0, None, 10, 11, float("nan")])
     model = km.kmeans_fit(df, "id", ["x"], 2, init="roundrobin", max_iter=2)
     assert model.n_excluded == 2
-    assert {r["id"] for r in model.assign(df).collect()} == {0, 2, 3}
+    got = {r["id"]: r["cid"] for r in model.assign(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and {i for i, c in got.items() if c is None} == {1, 4}
+    for clusters in (km.kmeans_fixed_rounds(df, "id", ["x"], 2), km.kmeans_roundrobin(df, "id", ["x"], 2),
+                     km.kmeans_join_back(df, "id", ["x"], 2).withColumnRenamed("cluster", "cid")):
+        assert {r["id"] for r in clusters.collect() if r["cid"] is None} == {1, 4}
+        assert clusters.count() == 5
+    assert km.kmeans_plus_plus(df, "id", ["x"], 2, storage=None).count() == 2
+
+
+def test_roundrobin_needs_an_integral_key(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, x double")
+    with pytest.raises(ValueError, match="integral"):
+        km.kmeans_roundrobin(df, "id", ["x"], 2)
 
 
 def test_missing_array_elements(spark):
@@ -123,6 +135,9 @@ def test_missing_array_elements(spark):
     )
     model = km.kmeans_fit(df, "id", "v", 2, init="roundrobin", max_iter=1)
     assert model.n_excluded == 2
+    wide = km.KMeansModel([(i, [float(i), 1.0]) for i in range(40)], "v", 1)
+    for m in (model, wide):
+        assert {r["id"] for r in m.assign(df).collect() if r["cid"] is None} == {1, 2}
 
 
 def test_uneven_arrays_are_an_error(spark):
@@ -179,9 +194,9 @@ def test_weighted_draw_follows_the_weights(spark):
     assert np.allclose(shares, [1 / 14, 4 / 14, 9 / 14], atol=0.2)
 
 
-def test_item_limit(spark):
+def test_highest_key(spark):
     df = spark.createDataFrame([(i, float(i), 0.0) for i in range(10)], "id bigint, x double, y double")
-    got = km.kmeans_join_back(df, "id", ["x", "y"], 2, n_rounds=2, n_items=4)
+    got = km.kmeans_join_back(df, "id", ["x", "y"], 2, n_rounds=2, max_key=4)
     assert got.columns == ["id", "cluster", "x", "y"]
     assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 4]
 

@@ -36,9 +36,10 @@ def random_words(n, width, seed):
     ([0b1100], [0b1000], 0.5), ([0], [0], 0.0), ([0b1100], [-1], 0.0625),
 ])
 def test_tanimoto_golden(spark, query, item, expected):
-    pairs = sim.tanimoto_pairs(table(spark, [item]), table(spark, [query], "q"), "id", "q")
-    assert pairs.columns == ["q", "id", "similarity"]
-    assert pairs.first()["similarity"] == expected
+    pair = spark.createDataFrame([(1, query, item)], "id int, q array<bigint>, d array<bigint>")
+    rows = sim.tanimoto_rows(pair, "q", "d", 1)
+    assert rows.columns == ["id", "q", "d", "similarity"]
+    assert rows.first()["similarity"] == expected
 
 
 @pytest.mark.parametrize("item, k, expected", [
@@ -88,19 +89,16 @@ def test_all_forms_agree_with_brute_force(spark, monkeypatch, n_queries, k):
     assert scores(max_shipped_bytes=0) == pytest.approx(expected, abs=1e-6)
 
 
-def test_pairs_forms_agree(spark, monkeypatch):
-    items, queries = random_words(40, 3, 3), random_words(5, 3, 4)
-    left, right = table(spark, items), table(spark, queries, "q", "bigint")
-    monkeypatch.setattr(sim, "ITEM_BLOCK", 10)
-    monkeypatch.setattr(sim, "QUERY_BLOCK", 2)
-    for limit, shipped in ((10**6, 10**6), (0, 10**6), (0, 0)):
-        monkeypatch.setattr(sim, "UNROLL_LIMIT", limit)
-        pairs = sim.tanimoto_pairs(left, right, "id", "q", max_shipped_bytes=shipped)
-        got = {(r["q"], r["id"]): r["similarity"] for r in pairs.collect()}
-        assert pairs.count() == len(got)
-        assert got == {
-            (j, i): tanimoto(q, d) for i, d in enumerate(items) for j, q in enumerate(queries)
-        }
+def test_rows_of_given_pairs(spark):
+    left, right = random_words(40, 3, 3), random_words(40, 3, 4)
+    pairs = spark.createDataFrame(list(zip(range(41), left, right)), "id int, a array<bigint>, b array<bigint>")
+    rows = sim.tanimoto_rows(pairs, "a", "b", 3)
+    got = [r["similarity"] for r in rows.orderBy("id").collect()]
+    assert got == [tanimoto(a, b) for a, b in zip(left, right)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    with pytest.raises(Exception, match="must have 2 words"):
+        sim.tanimoto_rows(pairs, "a", "b", 2).collect()
 
 
 def test_knn_is_a_map(spark):

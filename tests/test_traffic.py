@@ -17,8 +17,10 @@ RAW = "status,avgMeasuredTime,avgSpeed,extID,medianMeasuredTime,TIMESTAMP,vehicl
 
 
 def test_dominant_cluster_ties_go_low(spark):
-    df = spark.createDataFrame([(7, c) for c in (1, 0, 1, 0)] + [(8, 2)], "key int, cid int")
-    got = {tuple(r) for r in traffic.dominant_cluster(df, "key").collect()}
+    df = spark.createDataFrame([(7, c) for c in (1, 0, 1, 0)] + [(8, 2), (8, None), (9, None)], "key int, cid int")
+    plan = traffic.dominant_cluster(df, "key", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    got = {tuple(r) for r in traffic.dominant_cluster(df, "key", 3).collect()}
     assert got == {(7, 0, 2), (8, 2, 1)}
 
 
@@ -42,8 +44,9 @@ def test_csv_to_report(spark, tmp_path):
     )
     assert {r["report_id"] for r in summary.collect()} == {100, 200, 300}
     points = ["point_1_lat", "point_1_lng", "point_2_lat", "point_2_lng"]
-    url = traffic.map_report(summary, meta, "report_id", points).first()["url"]
-    assert url.count("path=color:") == 2  # 300 has no road
+    pages = traffic.map_report(summary, meta, "report_id", points).orderBy("page").collect()
+    assert [r["url"].count("path=color:") for r in pages] == [1, 1]  # 300 has no road
+    url = pages[0]["url"]
     assert "|weight:3|56.5,10.5|56.75,10.25" in url
     assert url.startswith(traffic.MAP_PREFIX) and url.endswith(traffic.MAP_SUFFIX)
 
@@ -54,12 +57,16 @@ def test_bad_csv_is_an_error(spark, tmp_path):
         read_traffic_rawdata(spark, str(tmp_path / "raw.csv")).collect()
 
 
-def test_colours_and_path_limit(spark):
+def test_colours_and_every_road_on_some_page(spark):
     summary = spark.createDataFrame([(i, i % 6, 1) for i in range(200)], "k int, cid int, c bigint")
     roads = summary.select("k", *[F.lit(n).alias(f"p{n}") for n in range(4)])
-    url = traffic.map_report(summary, roads, "k", ["p0", "p1", "p2", "p3"]).first()["url"]
+    points = ["p0", "p1", "p2", "p3"]
+    pages = traffic.map_report(summary, roads, "k", points).orderBy("page").collect()
+    assert [(r["page"], r["url"].count("path=")) for r in pages] == [(0, 125), (1, 75)]
+    url = pages[0]["url"]
     colours = [p.split("|")[0] for p in url.removeprefix(traffic.MAP_PREFIX).split("&") if "path" in p]
-    assert len(colours) == 125
+    with pytest.raises(Exception, match="more than one row"):
+        traffic.map_report(summary, roads.unionByName(roads.limit(1)), "k", points).collect()
     assert colours[:6] == [f"path=color:{c}" for c in ("orange", "red", "blue", "green", "purple", "orange")]
 
 
@@ -80,12 +87,14 @@ def test_text_scan(spark):
     df = spark.createDataFrame(
         [(99, "xaaax"), (100, "aaa"), (500, "aa"), (99900, "baaa"), (99901, "aaa")], "id bigint, t string"
     )
-    assert [r["id"] for r in text_like_range_scan(df, "id", "t").orderBy("id").collect()] == [100, 99900]
+    assert [r["id"] for r in text_like_range_scan(df, "id", "t").orderBy("id").collect()] == [99, 100, 99900, 99901]
+    found = text_like_range_scan(df, "id", "t", lowest=100, highest=99900)
+    assert [r["id"] for r in found.orderBy("id").collect()] == [100, 99900]
 
 
 def test_scan_range_reaches_the_source(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    plan = text_like_range_scan(documents, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    plan = text_like_range_scan(documents, "doc_id", "text", lowest=1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(doc_id,1" in plan  # the printed list is cut after 100 characters
 
 
