@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clusterloom.lineage import cut_lineage
+
 MIN_WORDS = 50
 HEAD_WORDS = 18
 #: Occurrences of a head for each part in which its runs are sorted.
@@ -104,9 +106,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
 
     suffixes = rows.mapInArrow(retain, "head long, row long, at int")
-    common = suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    n_parts = F.ceil(F.col("n") / rows_per_part).cast("int")
-    left = suffixes.join(common.select("head", n_parts.alias("n_parts")), "head")
+    # stored, so that the join below sees a plain table and can split a common head
+    common = cut_lineage(
+        suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("head", F.ceil(F.col("n") / rows_per_part).cast("int").alias("n_parts"))
+    )
+    any_parted = not common.filter("n_parts > 1").isEmpty()
+    left = suffixes.join(common, "head")
     places = left.groupBy("row").agg(F.collect_set(F.struct("at", "n_parts")).alias("places"))
     extended = rows.join(places, "row").dropDuplicates(["row"]).select("row", "text", "places")
 
@@ -146,6 +152,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = F.col("is_first") & F.col("is_last")
     one = F.col("n_parts") == 1
     settled = compared.filter((one & ~alone) | (~one & ~F.col("is_first"))).select("row", "start", "is_first")
+    if not any_parted:
+        return settled
     # the first rows of the parts of one run, and whether more follow in the part
     across = Window.partitionBy("run").orderBy("row", "start")
     firsts = compared.filter(~one & F.col("is_first")).select(
