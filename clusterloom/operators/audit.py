@@ -146,28 +146,37 @@ def login_pid(records: DataFrame) -> int | None:
     return None if last is None else last["pid"]
 
 
-def link_to_root(edges: DataFrame, root: int, rank: Sequence[str]) -> DataFrame:
-    """``(pid, root, depth, path)`` of every node below ``root``.
+def link_to_root(edges: DataFrame, root: int, rank: Sequence[str], with_path: bool = False) -> DataFrame:
+    """``(pid, root, depth)`` of every node below ``root``, and ``path`` if wanted.
 
     ``edges`` has one row per pid: ``pid``, ``ppid`` and the columns in ``rank``,
-    which order siblings.
+    which order siblings.  ``root`` of a row is its topmost ancestor.  A path holds
+    all ancestors, so paths are as long as the tree is deep; without them a row
+    keeps its size.
+
     Every round moves the pointer of each open node to where the node it points
     at has got, which doubles the distance covered: the number of joins grows
     with the logarithm of the depth.  Nodes that reach the root are set aside; later
-    rounds join with them, but do not write them again.  A round that brings none to the root ends the loop;
-    what is left then hangs on a cycle.  Pointers that leave the table end
-    nowhere and are dropped.
+    rounds join with them, but do not write them again.  Both sides of that join
+    are plain tables, so that a parent of very many processes can be split.  A round
+    that brings none to the root ends the loop; what is left then hangs on a cycle.
+    Pointers that leave the table end nowhere and are dropped.
     """
     at_root = F.col("up") == root
-    step = F.array(F.struct(*rank, "pid"))
-    state = cut_lineage(edges.select("pid", F.col("ppid").alias("up"), step.alias("path")))
+    path = [F.array(F.struct(*rank, "pid")).alias("path")] if with_path else []
+    state = cut_lineage(edges.select(
+        "pid", F.col("ppid").alias("up"), F.col("pid").alias("root"), F.lit(0).alias("depth"), *path
+    ))
     linked, still_open = state.filter(at_root), state.filter(~at_root)
     while True:
         reached = linked.unionByName(still_open).select(
-            F.col("pid").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("upper")
+            F.col("pid").alias("up"), F.col("up").alias("next_up"), F.col("root").alias("upper_root"),
+            F.col("depth").alias("upper_depth"), *[F.col("path").alias("upper") for _ in path],
         )
         moved = cut_lineage(still_open.join(reached, "up").select(
-            "pid", F.col("next_up").alias("up"), F.concat("upper", "path").alias("path")
+            "pid", F.col("next_up").alias("up"), F.col("upper_root").alias("root"),
+            (F.col("depth") + F.col("upper_depth") + 1).alias("depth"),
+            *[F.concat("upper", "path").alias("path") for _ in path],
         ))
         counts = moved.agg(
             F.count_if(at_root).alias("linked"), F.count_if(~at_root).alias("open")
@@ -177,20 +186,17 @@ def link_to_root(edges: DataFrame, root: int, rank: Sequence[str]) -> DataFrame:
         if not (counts["linked"] and counts["open"]):
             break
         still_open = moved.filter(~at_root)
-    return linked.select(
-        "pid",
-        F.col("path")[0]["pid"].alias("root"),
-        (F.size("path") - 1).alias("depth"),
-        "path",
-    )
+    return linked.select("pid", "root", "depth", *["path" for _ in path])
 
 
-def process_tree(records: DataFrame, users: DataFrame, root: int | None = None) -> DataFrame:
+def process_tree(
+    records: DataFrame, users: DataFrame, root: int | None = None, with_path: bool = False
+) -> DataFrame:
     """The process tree of a login session, one row per process.
 
-    ``users`` maps ``uid`` to ``name``.  Sorting by ``path`` (sibling order and
-    pid of every ancestor) lists the tree in pre-order; ``line`` is the printed
-    form, indented by depth.
+    ``users`` maps ``uid`` to ``name``.  ``line`` is the printed form, indented by
+    depth.  With ``with_path`` there is a column ``path`` (sibling order and pid of
+    every ancestor), and sorting by it lists the tree in pre-order.
     """
     session = cut_lineage(session_records(records))  # the log is read and parsed once
     processes = cut_lineage(process_table(session))
@@ -201,7 +207,7 @@ def process_tree(records: DataFrame, users: DataFrame, root: int | None = None)
     edges = processes.filter(F.col("ppid").isNotNull() & (F.col("pid") != F.col("ppid"))).select(
         "pid", "ppid", "event_time", "serial"
     )
-    tree = link_to_root(edges, root, rank=["event_time", "serial"])
+    tree = link_to_root(edges, root, rank=["event_time", "serial"], with_path=with_path)
     named = processes.join(
         users.select(F.col("uid").alias("euid"), F.col("name").alias("user")), "euid", "left"
     ).select("pid", "exe", "args", "user", "domain")
@@ -215,10 +221,10 @@ def process_tree(records: DataFrame, users: DataFrame, root: int | None = None)
         F.lit(", domain="), shown("domain"), F.lit(")"),
     )
     return tree.join(named, "pid").select(
-        "root", "depth", "path", "pid", "exe", "args", "user", "domain", line.alias("line")
+        "root", "depth", *(["path"] if with_path else []), "pid", "exe", "args", "user", "domain", line.alias("line")
     )
 
 
 def print_order(tree: DataFrame) -> DataFrame:
-    """The printed lines in pre-order."""
+    """The printed lines in pre-order, of a tree that has its paths."""
     return tree.orderBy("path").select("line")

@@ -6,13 +6,13 @@ product; what scales is how the queries reach the tasks.
 
 * few query words: written into the expression, generated code, no shuffle;
 * queries within ``MAX_SHIPPED_BYTES`` (checked): numpy inside Arrow batches;
-* more: both tables are cut into blocks, each pair of blocks is one bounded
-  group, and the best k per item are merged across its groups.
+* more: chunks of the queries within that bound, one map over the items each,
+  which keeps the best k similarities beside the item.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.bits import WORD_MASK, tanimoto_sql, word_count
+from clusterloom.lineage import cut_lineage
 
 # Largest (queries x words) written out as generated code.
 UNROLL_LIMIT = 64
 # Largest query table shipped whole to every task.
 MAX_SHIPPED_BYTES = 32 << 20
-# Rows per block of the blocked form.
-ITEM_BLOCK = 20_000
-QUERY_BLOCK = 5_000
 # Similarities in one numpy block of a task: few enough to stay in the CPU cache.
 BLOCK_CELLS = 1 << 16
 
@@ -99,19 +97,6 @@ def tanimoto_rows(pairs: DataFrame, a: str, b: str, n_words: int, out: str = "si
     return checked.withColumn(out, F.coalesce(F.try_divide(shared, joined), F.lit(0.0)))
 
 
-def _every(n: int) -> Column:
-    """One row for each of 0 .. n-1."""
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
-def _block(n: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-
-
-def _block_counts(items: DataFrame, n_queries: int) -> tuple[int, int]:
-    return max(1, -(-items.count() // ITEM_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-
-
 def _as_words(rows: Sequence[Sequence[int]]) -> np.ndarray:
     return (np.asarray(rows, dtype=np.int64) & WORD_MASK).astype(np.uint32)
 
@@ -133,7 +118,8 @@ def knn_similarity(
         table = items.select(item_id, _checked(words, n_words).alias("__words"))
         checked = queries.select(_checked(words, n_words).alias("__words"))
         if n_queries * n_words * 8 > max_shipped_bytes:
-            return _knn_in_blocks(table, checked, k, item_id, n_queries)
+            per_chunk = max(1, max_shipped_bytes // (8 * n_words))
+            return _knn_in_chunks(table, checked, k, item_id, n_queries, per_chunk)
         fingerprints = [r[0] for r in checked.collect()]
     finally:
         queries.unpersist()
@@ -159,42 +145,42 @@ def _running_mean(best: np.ndarray) -> np.ndarray:
     return total / best.shape[1]
 
 
-def _knn_in_blocks(
-    items: DataFrame, queries: DataFrame, k: int, item_id: str, n_queries: int
+def _knn_in_chunks(
+    items: DataFrame, queries: DataFrame, k: int, item_id: str, n_queries: int, per_chunk: int
 ) -> DataFrame:
-    """Exact scores when the queries are too many to ship.
+    """Exact scores when the queries are too many to ship at once.
 
-    A score depends on the fingerprint alone, so equal items are scored once, and
-    more than ``k`` copies of a query change nothing.  What is left is spread by
-    its hash: a group is one block of items with one block of queries, bounded
-    whatever values are frequent.
+    The queries come in chunks of about ``per_chunk``.  Each chunk is one map over
+    the items, which keeps the best ``k`` similarities so far beside each item;
+    items are neither copied nor shuffled, and the driver holds one chunk at a
+    time.  More than ``k`` copies of a query change nothing and are left out.
     """
-    item_blocks, query_blocks = _block_counts(items, n_queries)
-    left = items.select("__words").distinct().select(
-        "__words", _block(item_blocks, "__words").alias("ib"), _every(query_blocks).alias("qb")
-    )
-    copies = queries.groupBy("__words").count().select(
-        "__words",
-        F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)).cast("int"))).alias("copy"),
-    )
-    right = copies.select(
-        "__words", _every(item_blocks).alias("ib"), _block(query_blocks, "__words", "copy").alias("qb")
-    )
-
-    def best_in_group(block: pa.Table, candidates: pa.Table) -> pa.Table:
-        words = block.column("__words").combine_chunks()
-        best = np.empty((block.num_rows, 0))
-        if block.num_rows and candidates.num_rows:
-            best = top_scores(
-                _matrix(words), _matrix(candidates.column("__words").combine_chunks()), k
-            )
-        return pa.table({"__words": words, "__best": pa.array(list(best), pa.list_(pa.float64()))})
-
-    words_type = items.schema["__words"].dataType.simpleString()
-    partial = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(
-        best_in_group, f"__words {words_type}, __best array<double>"
+    copies = F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)).cast("int")))
+    n_chunks = -(-n_queries // per_chunk)
+    chunk = F.pmod(F.xxhash64("__words", "copy"), F.lit(n_chunks))
+    dealt = cut_lineage(
+        queries.groupBy("__words").count().select("__words", copies.alias("copy")).withColumn("chunk", chunk)
     )
-    scores = partial.groupBy("__words").agg(
-        F.flatten(F.collect_list("__best")).alias("__all")
-    ).select("__words", _mean_of_best(F.sort_array("__all", False), k).alias("score"))
-    return items.join(scores, "__words").select(item_id, "score")
+    kinds = dict(items.dtypes)
+    schema = f"`{item_id}` {kinds[item_id]}, __words {kinds['__words']}, __best array<double>"
+    scored = items.select(item_id, "__words", F.array().cast("array<double>").alias("__best"))
+    for n in range(n_chunks):
+        rows = dealt.filter(F.col("chunk") == n).select("__words").collect()
+        if rows:
+            scored = cut_lineage(scored.mapInArrow(_better(_as_words([r[0] for r in rows]), k), schema))
+    return scored.select(item_id, _mean_of_best(F.col("__best"), k).alias("score"))
+
+
+def _better(matrix: np.ndarray, k: int):
+    """Merge each row's best similarities with those to the queries of ``matrix``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                earlier = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                merged = np.concatenate([earlier, top_scores(_matrix(batch.column(1)), matrix, k)], axis=1)
+                best = np.sort(merged, axis=1)[:, ::-1][:, :k]
+                column = pa.array(list(best), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], column], names=batch.schema.names)
+
+    return run

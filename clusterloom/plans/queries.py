@@ -199,10 +199,17 @@ def knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_similarity_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores by the form for query tables too large to ship."""
+    """The same scores by the form for query tables too large to ship: four at a time."""
     items = fingerprints(spark, sf_dir).drop("label")
     queries = label_fingerprints(spark, sf_dir)
-    scores = similarity.knn_similarity(items, queries, 5, "vec_id", max_shipped_bytes=0)
+    scores = similarity.knn_similarity(items, queries, 5, "vec_id", max_shipped_bytes=4 * 8 * DIMENSIONS // 32)
+    return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+def knn_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item against the fingerprints of all items, shipped to the tasks."""
+    items = fingerprints(spark, sf_dir).drop("label")
+    scores = similarity.knn_similarity(items, items, 5, "vec_id")
     return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
@@ -383,7 +390,7 @@ def process_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = audit.audit_parse(audit_lines(spark, sf_dir))
-    tree = audit.process_tree(records, users(spark, sf_dir))
+    tree = audit.process_tree(records, users(spark, sf_dir), with_path=True)
     pids = F.array_join(F.transform("path", lambda p: p["pid"].cast("string")), "/")
     return tree.withColumn("path", pids)
 
@@ -404,6 +411,7 @@ QUERIES: dict[str, Query] = {
     "tanimoto_rows": tanimoto_rows,
     "knn_similarity": knn_similarity,
     "knn_similarity_blocked": knn_similarity_blocked,
+    "knn_similarity_all": knn_similarity_all,
     "f_test_two_groups": f_test_two_groups,
     "f_test_vs_control": f_test_vs_control,
     "kmeans_validate": kmeans_validate,

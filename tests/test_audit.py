@@ -27,7 +27,7 @@ def login(serial, pid, time="100.000"):
 def tree(spark, lines, root=None):
     records = audit.audit_parse(spark.createDataFrame([(line,) for line in lines], "value string"))
     users = spark.createDataFrame([(0, "root"), (5, "five")], "uid bigint, name string")
-    return audit.process_tree(records, users, root)
+    return audit.process_tree(records, users, root, with_path=True)
 
 
 def test_parse(spark):
@@ -163,7 +163,7 @@ def test_link_to_root_against_a_walk(spark, n, parent):
     parents = {i: parent(i) for i in range(2, n + 2)}
     parents[2] = 1
     edges = spark.createDataFrame([(i, p, i) for i, p in parents.items()], "pid bigint, ppid bigint, rank bigint")
-    got = {r["pid"]: [p["pid"] for p in r["path"]] for r in audit.link_to_root(edges, 1, ["rank"]).collect()}
+    got = {r["pid"]: [p["pid"] for p in r["path"]] for r in audit.link_to_root(edges, 1, ["rank"], with_path=True).collect()}
 
     def walk(i):
         return [] if i == 1 else [*walk(parents[i]), i]
@@ -171,6 +171,14 @@ def test_link_to_root_against_a_walk(spark, n, parent):
     assert got == {i: walk(i) for i in parents}
 
 
+def test_a_long_chain_keeps_rows_small(spark):
+    edges = spark.range(2, 5002).selectExpr("id AS pid", "id - 1 AS ppid", "id AS rank")
+    linked = audit.link_to_root(edges, 1, ["rank"])
+    assert linked.columns == ["pid", "root", "depth"]
+    got = linked.agg(F.count("*"), F.min("root"), F.max("root"), F.sum("depth"), F.max("depth")).first()
+    assert tuple(got) == (5000, 2, 2, 5000 * 4999 // 2, 4999)
+
+
 def test_session_by_login_user(spark, tmp_path):
     lines = [login(1, 1), exit_line(2, 2, 1), *exec_lines(3, 2, ["a", "b"]),
              exit_line(4, 9, 1).replace("auid=42", "auid=421"), "type=EXECVE msg=audit(100.000:5): argc=0"]

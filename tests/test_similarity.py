@@ -84,9 +84,15 @@ def test_all_forms_agree_with_brute_force(spark, monkeypatch, n_queries, k):
     assert scores() == pytest.approx(expected, abs=1e-6)
     monkeypatch.setattr(sim, "UNROLL_LIMIT", 0)
     assert scores() == pytest.approx(expected, abs=1e-6)
-    monkeypatch.setattr(sim, "ITEM_BLOCK", 20)
-    monkeypatch.setattr(sim, "QUERY_BLOCK", 8)
-    assert scores(max_shipped_bytes=0) == pytest.approx(expected, abs=1e-6)
+    for shipped in (30 * 16, 1000 * 16):
+        assert scores(max_shipped_bytes=shipped) == pytest.approx(expected, abs=1e-6)
+
+
+def test_query_chunks_leave_the_items_in_place(spark):
+    items = table(spark, random_words(20, 2, 5))
+    scored = sim.knn_similarity(items, items, 2, "id", max_shipped_bytes=5 * 16)
+    text = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
 
 
 def test_rows_of_given_pairs(spark):

@@ -24,16 +24,20 @@ def test_ties_and_early_end(spark):
     assert [r["id"] for r in picks.orderBy("pick").collect()] == [0, 1, 2]
 
 
-@pytest.mark.parametrize("per_checkpoint", [1, 3, 100])
-def test_checkpoints_do_not_change_the_picks(spark, per_checkpoint):
+@pytest.mark.parametrize("candidates", [1, 3, 500])
+def test_candidates_do_not_change_the_picks(spark, monkeypatch, candidates):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(200, 5))
     df = spark.createDataFrame(
         [(i, i % 7, row.tolist()) for i, row in enumerate(data)], "id bigint, label int, v array<double>"
     ).repartition(5)
+    passes = []
+    near = subset.with_nearest_dist2
+    monkeypatch.setattr(subset, "with_nearest_dist2", lambda *a: passes.append(1) or near(*a))
     picks = subset.minmax_subset(
-        df, "id", "label", "v", 8, start_pk=11, rounds_per_checkpoint=per_checkpoint
+        df, "id", "label", "v", 8, start_pk=11, candidates=candidates, storage=None
     ).orderBy("pick").collect()
+    assert len(passes) == {1: 8, 500: 1}.get(candidates, len(passes)) and len(passes) <= 8
     near = ((data - data[11]) ** 2).sum(axis=1)
     expected = [11]
     for _ in range(8):
