@@ -99,6 +99,6 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         "rendered", _render(F.col("turns"), F.col("perspective"), system)
     ).select(
         F.col("conv").alias(conv_col), "segment", "part", "perspective",
-        F.size("turns").alias("n_turns"), F.size(own).alias("n_own"),
+        F.size("turns").cast("long").alias("n_turns"), F.size(own).cast("long").alias("n_own"),
         "rendered.text", "rendered.spans",
     )

@@ -43,7 +43,7 @@ WITH t AS (
         ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS lo
     FROM r
 )
-SELECT conv_id, segment, 0 AS part, perspective, count(*) AS n_turns,
+SELECT conv_id, segment, 0::BIGINT AS part, perspective, count(*) AS n_turns,
        count(*) FILTER (own) AS n_own,
        string_agg(head || body || chr(10), '' ORDER BY turn, speaker, said) AS text,
        coalesce(string_agg(CAST(lo AS VARCHAR) || '-' || CAST(lo + length(body) AS VARCHAR), ','
