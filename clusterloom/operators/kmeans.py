@@ -441,6 +441,67 @@ def kmeans_roundrobin(
     return clusters.select(pk, "cid")
 
 
+def kmeans_sliced(
+    df: DataFrame,
+    pk: str,
+    features: Sequence[str],
+    k: int,
+    slices: dict[str, Column],
+    n_rounds: int = 10,
+    seed: int = 1,
+    keep: Sequence[str] = (),
+    storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
+) -> DataFrame:
+    """``(slice, pk, cid)`` and ``keep``: the fixed-rounds form within each slice, in one loop.
+
+    A slice is a condition on the rows, and a row may be in several.  Each round is
+    one job for all slices together: rows meet the centroids of their slices, and
+    the aggregate has one row for each slice and cluster.  Rows with a missing
+    feature have a null cluster.
+    """
+    names = list(slices)
+    # an array of the slices that a row is in
+    inside = F.filter(
+        F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(slices.values())]),
+        lambda s: s.isNotNull(),
+    )
+    narrow = df.select(pk, *keep, *[c for c in features if c not in (pk, *keep)], inside.alias("__in"))
+    table, spec = feature_table(narrow, features, keep=[pk, *keep, "__in"])
+    check_arguments(k, spec.size * len(names), n_rounds)
+    if storage is not None:
+        table = table.persist(storage)
+    try:
+        each = table.filter(USABLE).withColumn("__slice", F.explode("__in"))
+        clusters = init_hash(each, pk, k, seed, "__cid")
+        for _ in range(n_rounds):
+            means = clusters.groupBy("__slice", "__cid").agg(F.array(*[F.avg(c) for c in spec.columns]).alias("m"))
+            found = {(r["__slice"], r["__cid"]): list(r["m"]) for r in means.collect()}  # k rows a slice
+            centroids = [
+                [(c, found.get((s, c), [0.0] * spec.size)) for c in range(k)] for s in range(len(names))
+            ]
+            clusters = _with_nearest_of_slice(each, spec, centroids)
+    finally:
+        if storage is not None:
+            table.unpersist()
+    every = filled(table, spec).withColumn("__slice", F.explode("__in"))
+    labelled = _with_nearest_of_slice(every, spec, centroids)
+    slice_name = F.element_at(F.array(*map(F.lit, names)), F.col("__slice") + 1)
+    return labelled.select(
+        slice_name.alias("slice"), pk, *keep, F.when(F.col(USABLE), F.col("__cid")).alias("cid")
+    )
+
+
+def _with_nearest_of_slice(items: DataFrame, spec: Features, centroids: list[Centroids]) -> DataFrame:
+    """Add ``__cid``, the nearest of the centroids of the row's ``__slice``."""
+    distances, nearest = None, None
+    for s, own in enumerate(centroids):
+        squares, pick = nearest_sql(spec, *_unzip(own))
+        here = F.col("__slice") == s
+        distances = F.when(here, F.expr(squares)) if distances is None else distances.when(here, F.expr(squares))
+        nearest = pick  # the ids are the same in every slice
+    return items.withColumn("__ds", distances).withColumn("__cid", F.expr(nearest.format(ds="__ds"))).drop("__ds")
+
+
 def kmeans_join_back(
     df: DataFrame,
     pk: str,

@@ -10,8 +10,6 @@ per label, derived from all embeddings, so every query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -339,20 +337,10 @@ def traffic_dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_time_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dominant clusters within each time slice; the slices run side by side."""
+    """The dominant clusters within each time slice, from one loop over all slices."""
     items = measurements(spark, sf_dir)
-
-    def one(name: str) -> DataFrame:
-        sliced = traffic.time_slice(items, "ts", name)
-        summary = traffic.cluster_reports(sliced, "event_id", "report_id", FEATURES, K)
-        return summary.select(F.lit(name).alias("time_slice"), "report_id", "cid", "c")
-
-    with ThreadPool(len(traffic.TIME_SLICES)) as pool:
-        parts = pool.map(one, traffic.TIME_SLICES)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    summary = traffic.cluster_reports_by_slice(items, "event_id", "report_id", "ts", FEATURES, K)
+    return summary.withColumnRenamed("slice", "time_slice")
 
 
 def traffic_map_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.kmeans import kmeans
+from clusterloom.operators.kmeans import kmeans, kmeans_sliced
 
 # The colour of each cluster, the map request and the paths on one map.
 CLUSTER_COLOURS = {1: "red", 2: "blue", 3: "green", 4: "purple"}
@@ -40,18 +40,21 @@ def time_slice(df: DataFrame, ts: str, name: str) -> DataFrame:
     return df.filter(TIME_SLICES[name](F.col(ts)))
 
 
-def dominant_cluster(clusters: DataFrame, key: str, k: int, cid: str = "cid") -> DataFrame:
-    """``(key, cid, c)``: the most frequent of clusters 0 to k - 1 per key, the lowest on ties.
+def dominant_cluster(
+    clusters: DataFrame, key: str | Sequence[str], k: int, cid: str = "cid"
+) -> DataFrame:
+    """``(*key, cid, c)``: the most frequent of clusters 0 to k - 1 per key, the lowest on ties.
 
     One aggregate counts all clusters side by side, with map-side partial counts,
     so a key that holds much of the table is a handful of rows in the shuffle.
     Rows without a cluster do not count; a key with no others is left out.
     """
-    counted = clusters.groupBy(key).agg(*[F.count_if(F.col(cid) == i).alias(f"__n{i}") for i in range(k)])
+    keys = [key] if isinstance(key, str) else list(key)
+    counted = clusters.groupBy(*keys).agg(*[F.count_if(F.col(cid) == i).alias(f"__n{i}") for i in range(k)])
     counts = F.array(*[f"__n{i}" for i in range(k)])
-    best = counted.select(key, counts.alias("__counts")).withColumn("c", F.array_max("__counts"))
+    best = counted.select(*keys, counts.alias("__counts")).withColumn("c", F.array_max("__counts"))
     place = (F.array_position("__counts", F.col("c")) - 1).cast("int")
-    return best.filter("c > 0").select(key, place.alias(cid), "c")
+    return best.filter("c > 0").select(*keys, place.alias(cid), "c")
 
 
 def cluster_reports(
@@ -70,6 +73,22 @@ def cluster_reports(
     return dominant_cluster(clusters, key, k)
 
 
+def cluster_reports_by_slice(
+    measurements: DataFrame,
+    pk: str,
+    key: str,
+    ts: str,
+    features: Sequence[str],
+    k: int = 5,
+    n_rounds: int = 10,
+    seed: int = 1,
+) -> DataFrame:
+    """``(slice, key, cid, c)``: the same within each of :data:`TIME_SLICES`."""
+    slices = {name: rule(F.col(ts)) for name, rule in TIME_SLICES.items()}
+    clusters = kmeans_sliced(measurements, pk, features, k, slices, n_rounds, seed, keep=[key])
+    return dominant_cluster(clusters, ["slice", key], k)
+
+
 def map_paths(summary: DataFrame, roads: DataFrame, key: str, points: Sequence[str]) -> DataFrame:
     """``(key, path_entry)`` for every road with a dominant cluster.
 

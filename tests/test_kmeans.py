@@ -230,3 +230,19 @@ def test_skewed_table(spark):
     got = km.kmeans(df, "id", ["x"], 3, init="plus", max_iter=4)
     assert got.count() == 3000
     assert got.filter("x = 5.0").select("cid").distinct().count() == 1
+
+
+def test_slices_are_fixed_rounds_within_each(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(120, 2))
+    rows = [(i, *map(float, r), i % 5) for i, r in enumerate(data)] + [(500, None, 1.0, 0), (501, 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, g int")
+    slices = {"even": F.col("id") % 2 == 0, "low": F.col("id") < 50, "none": F.lit(False), "some": F.col("g") > 2}
+    got = km.kmeans_sliced(df, "id", ["x", "y"], 3, slices, n_rounds=4, keep=["g"])
+    assert got.columns == ["slice", "id", "g", "cid"]
+    found = {(r["slice"], r["id"]): r["cid"] for r in got.collect()}
+    want = {}
+    for name in ("even", "low", "some"):
+        part = df.filter(slices[name])
+        want |= {(name, r["id"]): r["cid"] for r in km.kmeans_fixed_rounds(part, "id", ["x", "y"], 3, 4).collect()}
+    assert found == want and found["even", 500] is None
