@@ -136,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first row of the next one as a guest, and the last one the first of all. So
     each text is shuffled once, and no range needs another one.
 
-    Null texts are empty. Rows of equal key follow each other by text; null keys
+    Null texts are empty. Rows of equal key follow each other by a hash of the text; null keys
     come first. A single row follows itself; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
