@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a folder of its own.
+    local session without that setting gets a folder of its own, which goes when
+    the program ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -23,5 +26,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                     "set spark.checkpoint.dir to a folder that all executors share"
                 )
             shared = tempfile.mkdtemp(prefix="clusterloom-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     return df.checkpoint()
