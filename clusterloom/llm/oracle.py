@@ -3,6 +3,29 @@
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 ORACLE_SQL: dict[str, str] = {
+    # all pairs of a label, and what a walk along the links reaches
+    "op1_embeddings": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), fit AS (
+    SELECT * FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(vec_id, r) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a
+), n AS (
+    SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT reach.vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(r) AS component_id,
+       reach.vec_id = min(r) AS kept
+FROM reach LEFT JOIN n ON n.a = reach.vec_id GROUP BY reach.vec_id
+""",
     # a join with every rule, the longest one first
     "op2_url_filters": f"""
 WITH u AS (
