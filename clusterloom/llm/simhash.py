@@ -77,28 +77,71 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, bits long")
 
 
+class _Groups:
+    """Disjoint sets, to pass on only links that join two groups."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x], x = root, up
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
 class BKTree:
-    """Nodes in arrays; ``children[i]`` has the child of node i by distance."""
+    """Nodes in arrays; ``children[i]`` has the child of node i by distance.
+
+    With ``groups``, nodes that meet within the radius while the tree is built are
+    joined, and a search can leave out branches whose nodes all are in the group
+    that asks: in a dense bunch of copies that is nearly all of it.
+    """
 
-    def __init__(self, codes: list[int]):
+    def __init__(self, codes: list[int], radius: int = -1, groups: _Groups | None = None):
         self.codes = codes
         self.children: list[dict[int, int]] = [{} for _ in codes]
+        self.links: list[tuple[int, int]] = []
+        self.branches: list[int] = []
         for new in range(1, len(codes)):
             at, code = 0, codes[new]
             while True:
                 distance = (code ^ codes[at]).bit_count()
+                if distance <= radius and groups.join(code, codes[at]):
+                    self.links.append((code, codes[at]))
                 child = self.children[at].get(distance)
                 if child is None:
                     self.children[at][distance] = new
                     break
                 at = child
 
-    def within(self, code: int, radius: int) -> Iterator[int]:
-        """The nodes at most ``radius`` bits away."""
-        codes, children = self.codes, self.children
+    def name_branches(self, groups: _Groups) -> None:
+        """For each node the group that its whole branch is in, or -1."""
+        named = [groups.find(c) for c in self.codes]
+        for at in range(len(named) - 1, -1, -1):  # a child comes after its parent
+            own = named[at]
+            if any(named[child] != own for child in self.children[at].values()):
+                named[at] = -1
+        self.branches = named
+
+    def within(self, code: int, radius: int, groups: _Groups | None = None) -> Iterator[int]:
+        """The nodes at most ``radius`` bits away; with ``groups``, of other groups at least."""
+        codes, children, branches = self.codes, self.children, self.branches
         stack = [0] if codes else []
         while stack:
             at = stack.pop()
+            if groups is not None and branches[at] >= 0 and groups.find(branches[at]) == groups.find(code):
+                continue
             distance = (code ^ codes[at]).bit_count()
             if distance <= radius:
                 yield at
@@ -110,38 +153,18 @@ class BKTree:
                         stack.append(child)
 
 
-class _Groups:
-    """Disjoint sets, to pass on only links that join two groups."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x], x = root, up
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 def _tree_links(codes: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of one shard part: its tree is searched by the shard's queries."""
-    tree_codes = codes[in_tree].tolist()
-    tree, groups, out = BKTree(tree_codes), _Groups(), []
-    for code in codes[asks].tolist():
-        for at in tree.within(code, radius):
-            other = tree_codes[at]
-            if other != code and groups.join(code, other):
-                out.append((code, other))
+    groups = _Groups()
+    tree = BKTree(codes[in_tree].tolist(), radius, groups)
+    out, named_at = tree.links, -1
+    for n, code in enumerate(codes[asks].tolist()):
+        if n % 256 == 0 and len(out) != named_at:
+            tree.name_branches(groups)
+            named_at = len(out)
+        for at in tree.within(code, radius, groups):
+            if groups.join(code, tree.codes[at]):
+                out.append((code, tree.codes[at]))
     return out
 
 
