@@ -12,11 +12,16 @@ block, and then again, so that no shard outgrows a task however often a block's
 value occurs. When no bits are left to split by, the shard's trees are cut into
 parts, and each part is sent to every slice of the shard's queries. Of the links
 of a shard only those that join two groups leave it; copies cost nothing.
+
+``near_copies`` asks for a least Jaccard similarity of shingles instead. Copies
+of 0.8 differ by about ten bits and sometimes by twenty, for which blocks of bits
+name no useful shards; there the shards are named by the smallest shingle hashes
+of a text, and each link is checked on all shingles before it joins two groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,16 @@ SHINGLE = 3
 RADIUS = 3
 #: Classes of which one task builds a tree.
 SHARD_SIZE = 2048
+#: Of near copies: words of a shingle and the least Jaccard similarity.
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+#: Bits by which fingerprints of near copies may differ. At a similarity of 0.8 a
+#: bit of long texts differs with probability acos(8/9)/pi, of texts of five
+#: shingles with 0.19: 26 bits are more than four deviations off.
+COPY_RADIUS = 26
+#: Smallest shingle hashes that name a text's shards. Texts of similarity J have
+#: none in common with probability (1 - J) ** 8 at most: 3e-6 at 0.8.
+COPY_KEYS = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -41,17 +56,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     A-Z are lower-cased; words are runs without ASCII white space. A text with
     fewer words than a shingle is one shingle, one without words is 0.
     """
-    if text is None:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    return _majority(_shingle_hashes(text, shingle))
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+    return np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 4096):
         part = hashes[start : start + 4096].view(np.uint8).reshape(-1, 8)
@@ -105,11 +124,15 @@ class BKTree:
 
     With ``groups``, nodes that meet within the radius while the tree is built are
     joined, and a search can leave out branches whose nodes all are in the group
-    that asks: in a dense bunch of copies that is nearly all of it.
+    that asks: in a dense bunch of copies that is nearly all of it. ``names`` are
+    what groups hold in place of the codes; ``alike``, of two positions, has the
+    last word on a link.
     """
 
-    def __init__(self, codes: list[int], radius: int = -1, groups: _Groups | None = None):
+    def __init__(self, codes: list[int], radius: int = -1, groups: _Groups | None = None,
+                 names: list[int] | None = None, alike: Callable[[int, int], bool] | None = None):
         self.codes = codes
+        self.names = codes if names is None else names
         self.children: list[dict[int, int]] = [{} for _ in codes]
         self.links: list[tuple[int, int]] = []
         self.branches: list[int] = []
@@ -117,30 +140,35 @@ class BKTree:
             at, code = 0, codes[new]
             while True:
                 distance = (code ^ codes[at]).bit_count()
-                if distance <= radius and groups.join(code, codes[at]):
-                    self.links.append((code, codes[at]))
+                if distance <= radius and (alike is None or self._apart(new, at, groups) and alike(new, at)):
+                    if groups.join(self.names[new], self.names[at]):
+                        self.links.append((self.names[new], self.names[at]))
                 child = self.children[at].get(distance)
                 if child is None:
                     self.children[at][distance] = new
                     break
                 at = child
 
+    def _apart(self, a: int, b: int, groups: _Groups) -> bool:
+        return groups.find(self.names[a]) != groups.find(self.names[b])
+
     def name_branches(self, groups: _Groups) -> None:
         """For each node the group that its whole branch is in, or -1."""
-        named = [groups.find(c) for c in self.codes]
+        named = [groups.find(name) for name in self.names]
         for at in range(len(named) - 1, -1, -1):  # a child comes after its parent
             own = named[at]
             if any(named[child] != own for child in self.children[at].values()):
                 named[at] = -1
         self.branches = named
 
-    def within(self, code: int, radius: int, groups: _Groups | None = None) -> Iterator[int]:
+    def within(self, code: int, radius: int, groups: _Groups | None = None, name: int | None = None) -> Iterator[int]:
         """The nodes at most ``radius`` bits away; with ``groups``, of other groups at least."""
+        name = code if name is None else name
         codes, children, branches = self.codes, self.children, self.branches
         stack = [0] if codes else []
         while stack:
             at = stack.pop()
-            if groups is not None and branches[at] >= 0 and groups.find(branches[at]) == groups.find(code):
+            if groups is not None and branches[at] >= 0 and groups.find(branches[at]) == groups.find(name):
                 continue
             distance = (code ^ codes[at]).bit_count()
             if distance <= radius:
@@ -168,18 +196,58 @@ def _tree_links(codes: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius
     return out
 
 
-def _search_shards(radius: int):
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending sets."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int((a[at] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def _copy_links(names: list[int], codes: list[int], sets: list[np.ndarray], in_tree: np.ndarray,
+                asks: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """As ``_tree_links``, of classes whose shingles are similar enough."""
+    groups = _Groups()
+    nodes = np.flatnonzero(in_tree).tolist()
+
+    def alike(a: int, b: int) -> bool:
+        few, many = sorted((len(sets[a]), len(sets[b])))
+        return few >= similarity * many and jaccard(sets[a], sets[b]) >= similarity
+
+    tree = BKTree([codes[i] for i in nodes], radius, groups, [names[i] for i in nodes],
+                  lambda a, b: alike(nodes[a], nodes[b]))
+    out, named_at = tree.links, -1
+    for n, i in enumerate(np.flatnonzero(asks).tolist()):
+        if n % 256 == 0 and len(out) != named_at:
+            tree.name_branches(groups)
+            named_at = len(out)
+        for at in tree.within(codes[i], radius, groups, names[i]):
+            if groups.find(names[i]) != groups.find(tree.names[at]) and alike(i, nodes[at]):
+                groups.join(names[i], tree.names[at])
+                out.append((names[i], tree.names[at]))
+    return out
+
+
+def _search_shards(radius: int, similarity: float | None = None):
     """Over rows sorted by shard; a shard that goes on in the next batch waits for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(columns: list[np.ndarray]) -> pa.RecordBatch:
-            shard, bits, in_tree, asks = columns
+            shard, bits, in_tree, asks, *checked = columns
             cuts = np.flatnonzero(np.diff(shard)) + 1
             codes, out = bits.view(np.uint64), []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-                out += _tree_links(codes[lo:hi], in_tree[lo:hi], asks[lo:hi], radius)
+                if similarity is None:
+                    out += _tree_links(codes[lo:hi], in_tree[lo:hi], asks[lo:hi], radius)
+                    continue
+                names, sets = (c[lo:hi] for c in checked)
+                out += _copy_links(
+                    names.view(np.uint64).tolist(), codes[lo:hi].tolist(),
+                    [np.frombuffer(s, np.uint32) for s in sets], in_tree[lo:hi], asks[lo:hi], radius, similarity,
+                )
             pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -209,6 +277,26 @@ def _value(code: Column, bits: list[int]) -> Column:
     return code.bitwiseAND(F.lit(mask - 2**BITS if mask >= 2 ** (BITS - 1) else mask))
 
 
+def _visits(shards: DataFrame, key: str, shard_size: int) -> DataFrame:
+    """Each row of a shard once for each pair of tree part and query slice that it is in."""
+    # a shard within the bound has one part and one slice
+    n_parts = F.ceil(F.col("size") / shard_size).cast("int")
+    own = F.pmod(F.xxhash64(key), n_parts).cast("int")
+    numbers = F.sequence(F.lit(0), n_parts - 1)
+    # the tree of part p meets the queries of slice q: p <= q is enough for each pair
+    return shards.withColumn("own", own).withColumn(
+        "visit",
+        F.explode(
+            F.transform(
+                numbers,
+                lambda other: F.struct(
+                    F.least("own", other).alias("part"), F.greatest("own", other).alias("slice"),
+                ),
+            )
+        ),
+    )
+
+
 def close_links(codes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """``(a, b)``: links that connect all distinct ``bits`` at most ``radius`` bits apart.
 
@@ -254,22 +342,7 @@ def close_links(codes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_
     shards = parts[0]
     for part in parts[1:]:
         shards = shards.unionByName(part)
-    # a shard within the bound has one part and one slice
-    n_parts = F.ceil(F.col("size") / shard_size).cast("int")
-    own = F.pmod(F.xxhash64("bits"), n_parts).cast("int")
-    numbers = F.sequence(F.lit(0), n_parts - 1)
-    # the tree of part p meets the queries of slice q: p <= q is enough for each pair
-    rows = shards.withColumn("own", own).withColumn(
-        "visit",
-        F.explode(
-            F.transform(
-                numbers,
-                lambda other: F.struct(
-                    F.least("own", other).alias("part"), F.greatest("own", other).alias("slice"),
-                ),
-            )
-        ),
-    )
+    rows = _visits(shards, "bits", shard_size)
     # a hash names the shard; two that share one are merged, which adds no false link
     rows = rows.select(
         F.xxhash64("path", "same", "visit.part", "visit.slice").alias("shard"), "bits",
@@ -302,16 +375,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_bits, "bits").select(id_col, "bits", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_keys: int) -> DataFrame:
+    """``(id, node, bits, keys, shingles)`` of each text; ``node`` names its set of shingles.
+
+    ``shingles`` are the upper 32 bits of the hashes.
+    """
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bits, keys, sets = [], [], [], []
+            for text in batch.column(1):
+                hashes = np.unique(_shingle_hashes(text.as_py(), shingle))
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                bits.append(_majority(hashes))
+                keys.append(hashes[:n_keys].view(np.int64))
+                sets.append((hashes >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (nodes, bits)),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                names=[id_col, "node", "bits", "keys", "shingles"],
+            )
+
+    return rows.mapInArrow(
+        run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, node long, bits long, keys array<long>, shingles binary"
+    )
+
+
+def copy_links(classes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS,
+               shard_size: int = SHARD_SIZE) -> DataFrame:
+    """``(a, b)``: links that connect the distinct ``node``s of similar shingle sets.
+
+    Classes meet in the shards of the keys they share. Keys of more than
+    ``shard_size`` classes are taken in pairs, as similar classes that share no
+    rarer key share several of them; where such a pair is common too, the shard's
+    trees are cut into parts.
+    """
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sized = cut_lineage(keyed.join(sizes, "key").select("node", "key", "size"))
+    shards = sized.filter(F.col("size") <= shard_size)
+    crowded = sized.filter(F.col("size") > shard_size)
+    if not crowded.isEmpty():
+        held = crowded.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+        pairs = F.flatten(F.transform("keys", lambda a: F.transform(
+            F.filter("keys", lambda b: b > a), lambda b: F.xxhash64(a, b)
+        )))
+        paired = cut_lineage(held.select("node", F.explode(pairs).alias("key")))
+        sizes = paired.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shards = shards.unionByName(paired.join(sizes, "key").select("node", "key", "size"))
+    rows = _visits(shards, "node", shard_size).select(
+        "node", F.xxhash64("key", "visit.part", "visit.slice").alias("shard"),
+        (F.col("own") == F.col("visit.part")).alias("in_tree"),
+        (F.col("own") == F.col("visit.slice")).alias("asks"),
+    )
+    rows = rows.join(classes.select("node", "bits", "shingles"), "node").select(
+        "shard", "bits", "in_tree", "asks", "node", "shingles"
+    )
+    dealt = rows.repartition(partitions(classes), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_search_shards(radius, similarity), "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS,
+                shard_size: int = SHARD_SIZE, n_keys: int = COPY_KEYS) -> DataFrame:
+    """``(id, bits, component_id)``: groups of texts linked by similar shingle sets.
+
+    Similarity is the Jaccard similarity of the sets of shingles; ``bits`` is the
+    fingerprint of the set. Else as ``near_duplicates``.
+    """
+    prints = cut_lineage(_shingle_sets(docs, id_col, text_col, shingle, n_keys))
+    held = F.first(F.struct("bits", "keys", "shingles")).alias("held")  # the same for a node
+    classes = cut_lineage(
+        prints.groupBy("node").agg(F.min(id_col).alias("least"), held).select("node", "least", "held.*")
+    )
+    links = copy_links(classes, similarity, radius, shard_size)
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "of")
+    named = classes.join(groups, classes["node"] == groups["of"], "left").select(
+        "node", "least", F.coalesce("component", "node").alias("component")
+    )
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = named.join(least, "component").select("node", "component_id")
+    return prints.select(id_col, "bits", "node").join(by_node, "node").select(id_col, "bits", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      groups: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of the smallest id.
 
+    ``groups`` is ``near_duplicates`` or ``near_copies``.
+
     Of rows that share this id, the one with the smallest hash of id and text
     stays; a null id is the largest. Equal rows of one id and text are one row.
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), row.alias("row"))
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(keyed, "key", "text", **options)
+    found = groups(keyed, "key", "text", **options)
     stays = found.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("__row")).distinct()
     kept = docs.withColumn("__row", row).join(stays, "__row", "left_semi")
     return kept.dropDuplicates(["__row"]).select(*docs.columns)

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm import mixing, packing, simhash, suffixes, toxicity
 
-#: Bits by which fingerprints of near copies differ: texts that share 0.8 of their
-#: five-word shingles are mostly within six bits, unrelated ones about 32 apart.
-COPY_RADIUS = 6
-#: A wider radius prunes less, so trees are kept smaller than by default.
+#: Near copies share this much of their five-word shingles.
+COPY_SIMILARITY = 0.8
+COPY_SHINGLE = 5
+#: Bits by which their fingerprints may differ before the shingles are compared.
+COPY_RADIUS = simhash.COPY_RADIUS
+#: A wide radius prunes less, so trees are kept smaller than by default.
 COPY_SHARD = 1024
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,7 +34,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return simhash.one_of_each_group(docs, radius=COPY_RADIUS, shard_size=COPY_SHARD)
+    return simhash.one_of_each_group(
+        docs, groups=simhash.near_copies, similarity=COPY_SIMILARITY, shingle=COPY_SHINGLE,
+        radius=COPY_RADIUS, shard_size=COPY_SHARD,
+    )
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
