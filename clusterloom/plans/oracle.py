@@ -375,6 +375,14 @@ SELECT root, depth::INTEGER AS depth, path, pid, exe, args, "user", domain,
         || ', user=' || coalesce("user", '') || ', domain=' || domain || ')' AS line
 FROM shown"""
 
+# --- running totals --------------------------------------------------------
+
+SHARES = [ITEMS, "weighed AS (SELECT event_id, least(" + ", ".join(
+    f"(value - {v}) * (value - {v}) + (hour - {h}) * (hour - {h}) + (dow - {d}) * (dow - {d})"
+    for _, (v, h, d) in START_CENTROIDS) + ") AS dist2 FROM items)",
+    """shares AS (
+    SELECT event_id, sum(dist2) OVER (ORDER BY event_id) / sum(dist2) OVER () AS share FROM weighed)"""]
+
 # ---------------------------------------------------------------------------
 
 MEANS = ", ".join(f"round(avg({f}), 6) AS {f}" for f in FEATURES)
@@ -523,4 +531,12 @@ ORACLE_SQL: dict[str, str] = {
     "text_like_range_scan": """
         SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
         WHERE text LIKE '%ing%'""",
+    "global_row_number": """
+        SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, value, event_id) AS row_number
+        FROM events""",
+    "running_share": with_(SHARES, "SELECT event_id, round(share, 6) AS share FROM shares"),
+    "weighted_draws": with_(
+        [*SHARES, "wheel AS (SELECT range::INTEGER AS draw FROM range(10))",
+         *_uniform_ctes("wheel", "spun", "draw", 0)],
+        """SELECT draw, (SELECT min(event_id) FROM shares WHERE share > u) AS event_id FROM spun"""),
 }

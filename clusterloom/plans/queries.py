@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.functions import bits
-from clusterloom.operators import audit, ftest, kmeans, scan, similarity, subset
+from clusterloom.operators import audit, ftest, kmeans, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
 from clusterloom.sources import session_lines
 
@@ -390,6 +390,33 @@ def text_like_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.length("text").alias("n_chars"))
 
 
+def global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events numbered from 1 by reporter, value and key."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return ordered.global_row_number(events, ["user_id", "value", "event_id"])
+
+
+def weighed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its squared distance to the nearest start centroid."""
+    distances = [
+        sum(((F.col(f) - c) * (F.col(f) - c) for f, c in zip(FEATURES, centre)), F.lit(0.0))
+        for _, centre in START_CENTROIDS
+    ]
+    return measurements(spark, sf_dir).select("event_id", F.least(*distances).alias("dist2"))
+
+
+def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all squared distances that is reached with each event."""
+    items = weighed_events(spark, sf_dir)
+    shares = ordered.running_total(items, ["event_id"], "dist2", "share", share=True)
+    return rounded(shares.select("event_id", "share"), ["share"])
+
+
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten events drawn with probabilities by their squared distances."""
+    return ordered.weighted_draws(weighed_events(spark, sf_dir), "event_id", "dist2", 10)
+
+
 QUERIES: dict[str, Query] = {
     "popc": popc,
     "popc_and": _pair_query("bitwiseAND"),
@@ -429,4 +456,7 @@ QUERIES: dict[str, Query] = {
     "process_tree": process_tree,
     "process_tree_lines": process_tree_lines,
     "text_like_range_scan": text_like_range_scan,
+    "global_row_number": global_row_number,
+    "running_share": running_share,
+    "weighted_draws": weighted_draws,
 }
