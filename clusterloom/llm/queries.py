@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, simhash, suffixes, toxicity, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, repair, simhash, suffixes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, copies = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_digests(turns, copies)
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_url_filters": op2_url_filters,
@@ -92,4 +97,5 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_repair": op11_repair,
 }
