@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, repair, simhash, suffixes, toxicity, url_filters
+from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, repair, resampling, simhash, suffixes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(turns, copies)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_url_filters": op2_url_filters,
@@ -98,4 +103,5 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
     "op11_repair": op11_repair,
+    "op12_resampling": op12_resampling,
 }
