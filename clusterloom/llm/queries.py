@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm import chat, embeddings, fingerprints, html_text, mixing, packing, repair, resampling, simhash, suffixes, toxicity, url_filters
+from clusterloom.lineage import new_folder, remove_folder
+from clusterloom.llm import archives, chat, embeddings, fingerprints, html_text, mixing, packing, repair, resampling, simhash, suffixes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +92,15 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold; they go when their records have been read."""
+    arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
+    records = archives.archived_pages(spark, table(spark, sf_dir, "pages"), arc, warc)
+    for folder in (arc, warc):
+        remove_folder(spark, folder)
+    return records
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_url_filters": op2_url_filters,
@@ -104,4 +114,5 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_repair": op11_repair,
     "op12_resampling": op12_resampling,
+    "op13_archives": op13_archives,
 }
