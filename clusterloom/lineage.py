@@ -36,6 +36,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    For loops whose rounds join their own results: a checkpoint keeps the estimated size
+    of what it replaces, a join multiplies estimates, and after ten rounds they have
+    millions of digits. A table's size is that of its files.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing is at yet."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

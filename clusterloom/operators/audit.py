@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.lineage import cut_lineage
+from clusterloom.operators.tree import preorder
 
 # The two system calls by architecture (x86-64, x86, arm64), which
 # alone says what a number means; logs that were interpreted have names instead.
@@ -190,13 +191,16 @@ def link_to_root(edges: DataFrame, root: int, rank: Sequence[str], with_path: bo
 
 
 def process_tree(
-    records: DataFrame, users: DataFrame, root: int | None = None, with_path: bool = False
+    records: DataFrame, users: DataFrame, root: int | None = None, with_path: bool = False,
+    with_position: bool = False,
 ) -> DataFrame:
     """The process tree of a login session, one row per process.
 
     ``users`` maps ``uid`` to ``name``.  ``line`` is the printed form, indented by
-    depth.  With ``with_path`` there is a column ``path`` (sibling order and pid of
-    every ancestor), and sorting by it lists the tree in pre-order.
+    depth.  With ``with_position`` there are columns ``size`` (processes of the tree
+    below, itself included) and ``position``, the number of the line in pre-order.
+    With ``with_path`` there is a column ``path`` (sibling order and pid of every
+    ancestor), as long as the tree is deep; sorting by it gives the same order.
     """
     session = cut_lineage(session_records(records))  # the log is read and parsed once
     processes = cut_lineage(process_table(session))
@@ -207,7 +211,14 @@ def process_tree(
     edges = processes.filter(F.col("ppid").isNotNull() & (F.col("pid") != F.col("ppid"))).select(
         "pid", "ppid", "event_time", "serial"
     )
-    tree = link_to_root(edges, root, rank=["event_time", "serial"], with_path=with_path)
+    rank = ["event_time", "serial"]
+    more = [c for c, wanted in (("size", with_position), ("position", with_position), ("path", with_path)) if wanted]
+    if with_position:
+        tree = preorder(edges, root, rank)
+        if with_path:
+            tree = tree.join(link_to_root(edges, root, rank, with_path).select("pid", "path"), "pid")
+    else:
+        tree = link_to_root(edges, root, rank, with_path)
     named = processes.join(
         users.select(F.col("uid").alias("euid"), F.col("name").alias("user")), "euid", "left"
     ).select("pid", "exe", "args", "user", "domain")
@@ -221,10 +232,10 @@ def process_tree(
         F.lit(", domain="), shown("domain"), F.lit(")"),
     )
     return tree.join(named, "pid").select(
-        "root", "depth", *(["path"] if with_path else []), "pid", "exe", "args", "user", "domain", line.alias("line")
+        "root", "depth", *more, "pid", "exe", "args", "user", "domain", line.alias("line")
     )
 
 
 def print_order(tree: DataFrame) -> DataFrame:
-    """The printed lines in pre-order, of a tree that has its paths."""
-    return tree.orderBy("path").select("line")
+    """The printed lines in pre-order, of a tree that has its positions or its paths."""
+    return tree.orderBy("position" if "position" in tree.columns else "path").select("line")

@@ -527,7 +527,17 @@ ORACLE_SQL: dict[str, str] = {
     "audit_session": with_([AUDIT_LINES], """
         SELECT 'SYSCALL' AS type, count(*) AS n FROM lines WHERE value LIKE '% auid=1001 %' HAVING count(*) > 0"""),
     "process_tree": PROCESS_TREE,
-    "process_tree_lines": f"SELECT path, line FROM ({PROCESS_TREE})",
+    "process_tree_lines": f"""
+        WITH RECURSIVE stamped AS (
+            SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, epoch_ms(ts) AS ms FROM events),
+        walk AS (
+            SELECT pid, [struct_pack(ms, pid)] AS way FROM stamped WHERE ppid = 1
+            UNION ALL
+            SELECT s.pid, list_append(w.way, struct_pack(s.ms, s.pid)) FROM stamped s JOIN walk w ON s.ppid = w.pid),
+        counted AS (SELECT pid, row_number() OVER (ORDER BY way) AS position FROM walk),
+        passed AS (SELECT unnest(way).pid AS pid FROM walk),
+        sizes AS (SELECT pid, count(*) AS size FROM passed GROUP BY pid)
+        SELECT position, size, line FROM ({PROCESS_TREE}) JOIN counted USING (pid) JOIN sizes USING (pid)""",
     "text_like_range_scan": """
         SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
         WHERE text LIKE '%ing%'""",

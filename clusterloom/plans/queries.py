@@ -372,8 +372,10 @@ def audit_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The printed lines; sorted by ``path``, they are the tree in pre-order."""
-    return process_tree(spark, sf_dir).select("path", "line")
+    """The printed lines with their numbers in pre-order, and the sizes of the trees below."""
+    records = audit.audit_parse(audit_lines(spark, sf_dir))
+    tree = audit.process_tree(records, users(spark, sf_dir), with_position=True)
+    return tree.select("position", "size", "line")
 
 
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
