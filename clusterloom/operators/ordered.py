@@ -65,7 +65,7 @@ def range_bounds(df: DataFrame, keys: Sequence[str], n_ranges: int) -> list[tupl
         return []
     step = len(ordered) / n_ranges
     cuts = [tuple(ordered[min(int(i * step), len(ordered) - 1)]) for i in range(1, n_ranges)]
-    return list(dict.fromkeys(cuts))
+    return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
 
 
 def range_of(keys: Sequence[Column], bounds: list[tuple], types: Sequence[str]) -> Column:

@@ -410,6 +410,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, round((sum(similarity ORDER BY similarity DESC) / 5)::FLOAT::DOUBLE, 5) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC) AS r FROM sims)
         WHERE r <= 5 GROUP BY vec_id"""),
+    "knn_similarity_of_set": with_([BITS, f"""sims AS (
+        SELECT a.vec_id, coalesce(list_sum([a.b[i] * q.b[i] FOR i IN range(1, {D + 1})])::DOUBLE
+            / nullif(list_sum([greatest(a.b[i], q.b[i]) FOR i IN range(1, {D + 1})]), 0), 0.0) AS similarity
+        FROM bits a CROSS JOIN bits q WHERE q.vec_id % 50 = 0)"""], """
+        SELECT vec_id, round((sum(similarity ORDER BY similarity DESC) / 5)::FLOAT::DOUBLE, 5) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC) AS r FROM sims)
+        WHERE r <= 5 GROUP BY vec_id"""),
     "f_test_two_groups": with_([
         """stats AS (
             SELECT l_returnflag AS g, count(*) AS n,

@@ -197,10 +197,10 @@ def knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_similarity_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores by the form for query tables too large to ship: four at a time."""
+    """The same scores by the form for query tables too large to ship."""
     items = fingerprints(spark, sf_dir).drop("label")
     queries = label_fingerprints(spark, sf_dir)
-    scores = similarity.knn_similarity(items, queries, 5, "vec_id", max_shipped_bytes=4 * 8 * DIMENSIONS // 32)
+    scores = similarity.knn_similarity(items, queries, 5, "vec_id", max_shipped_bytes=0)
     return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
@@ -211,6 +211,14 @@ def knn_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+def knn_similarity_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item against the items whose id is divisible by 50, none of them shipped."""
+    items = fingerprints(spark, sf_dir).drop("label")
+    queries = items.filter("vec_id % 50 = 0")
+    scores = similarity.knn_similarity(items, queries, 5, "vec_id", max_shipped_bytes=0)
+    return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
 def _rounded_test(df: DataFrame) -> DataFrame:
     return rounded(rounded(df, ["var1", "var2", "f"]), ["lower", "upper"], 5)
 
@@ -429,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "knn_similarity": knn_similarity,
     "knn_similarity_blocked": knn_similarity_blocked,
     "knn_similarity_all": knn_similarity_all,
+    "knn_similarity_of_set": knn_similarity_of_set,
     "f_test_two_groups": f_test_two_groups,
     "f_test_vs_control": f_test_vs_control,
     "kmeans_validate": kmeans_validate,

@@ -88,11 +88,36 @@ def test_all_forms_agree_with_brute_force(spark, monkeypatch, n_queries, k):
         assert scores(max_shipped_bytes=shipped) == pytest.approx(expected, abs=1e-6)
 
 
-def test_query_chunks_leave_the_items_in_place(spark):
-    items = table(spark, random_words(20, 2, 5))
-    scored = sim.knn_similarity(items, items, 2, "id", max_shipped_bytes=5 * 16)
-    text = scored._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text and "Join" not in text
+@pytest.mark.parametrize("per_chunk, per_block, n_queries", [(4, 3, 60), (7, 1000, 30), (1000, 5, 9)])
+def test_blocks_in_order_of_bits(spark, per_chunk, per_block, n_queries):
+    rng = random.Random(9)
+
+    def skewed(n):  # few to all of 64 bits, so that bounds decide
+        return [[sum((rng.random() < p) << i for i in range(32)) - 2**31 for _ in range(2)] for p in
+                (rng.random() for _ in range(n))] + [[0, 0], [-1, -1]]
+
+    items, queries = skewed(80), skewed(n_queries)
+    left = table(spark, items).withColumnRenamed("words", "__words")
+    right = table(spark, queries).select("words").withColumnRenamed("words", "__words")
+    rows = sim._knn_by_bits(left, right, 3, "id", 2, per_chunk, per_block).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(len(items)))
+    assert [r["score"] for r in rows] == pytest.approx(brute_force(items, queries, 3), abs=1e-6)
+
+
+def test_chunks_out_of_reach_are_not_read(spark):
+    # items of few bits against queries of few and of many bits
+    few = [[1 << (i % 30) | 1 << (i % 7), 0] for i in range(40)]
+    many = [[-1, -(i + 1)] for i in range(200)]
+    left = table(spark, few).withColumnRenamed("words", "__words")
+    right = table(spark, few + many).select("words").withColumnRenamed("words", "__words")
+    result = sim._knn_by_bits(left, right, 2, "id", 2, per_chunk=20, per_block=20)
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    chunks = sim._chunks(right, 2, 20)
+    assert chunks.count() >= 12
+    met = chunks.filter(chunks["hi"] <= 8).count()  # 2 bits at most and a similarity of 1 / 4 at least
+    assert met <= 4
 
 
 def test_rows_of_given_pairs(spark):
