@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.lineage import cut_lineage
+from clusterloom.lineage import cut_lineage, new_folder, remove_folder
 from clusterloom.llm.common import connected_components, partitions
 
 SEED = 42
@@ -444,14 +444,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Similarity is the Jaccard similarity of the sets of shingles; ``bits`` is the
     fingerprint of the set. Else as ``near_duplicates``.
     """
-    prints = cut_lineage(_shingle_sets(docs, id_col, text_col, shingle, n_keys))
+    spark = docs.sparkSession
+    # shingle sets are as large as the texts: they are kept in tables that go when the links are known
+    all_sets, class_sets = new_folder(spark, "shingles"), new_folder(spark, "classes")
+    _shingle_sets(docs, id_col, text_col, shingle, n_keys).write.parquet(all_sets)
+    sets = spark.read.parquet(all_sets)
+    prints = cut_lineage(sets.select(id_col, "node", "bits"))
     held = F.first(F.struct("bits", "keys", "shingles")).alias("held")  # the same for a node
-    classes = cut_lineage(
-        prints.groupBy("node").agg(F.min(id_col).alias("least"), held).select("node", "least", "held.*")
-    )
+    sets.groupBy("node").agg(F.min(id_col).alias("least"), held).select("node", "least", "held.*").write.parquet(class_sets)
+    remove_folder(spark, all_sets)
+    classes = spark.read.parquet(class_sets)
+    names = cut_lineage(classes.select("node", "least"))
     links = copy_links(classes, similarity, radius, shard_size)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "of")
-    named = classes.join(groups, classes["node"] == groups["of"], "left").select(
+    remove_folder(spark, class_sets)
+    named = names.join(groups, names["node"] == groups["of"], "left").select(
         "node", "least", F.coalesce("component", "node").alias("component")
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -466,15 +473,20 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``groups`` is ``near_duplicates`` or ``near_copies``.
 
     Of rows that share this id, the one with the smallest hash of id and text
-    stays; a null id is the largest. Equal rows of one id and text are one row.
+    stays; a null id is the largest. Rows equal in id and text are one row; where
+    they differ elsewhere, the one with the smallest hash of all columns stays. Null
+    texts are like empty ones. An empty table gives none, and all columns of ``docs``
+    stay, whatever their names.
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), row.alias("row"))
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     found = groups(keyed, "key", "text", **options)
-    stays = found.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("__row")).distinct()
-    kept = docs.withColumn("__row", row).join(stays, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    stays = found.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("row")).distinct()
+    named = docs.select(row.alias("row"), F.struct(*docs.columns).alias("held"))
+    kept = named.join(stays, "row", "left_semi")
+    least = kept.groupBy("row").agg(F.min_by("held", F.xxhash64("held")).alias("held"))
+    return least.select(*[F.col("held").getField(c).alias(c) for c in docs.columns])
 
 
 def as_hex(bits: Column) -> Column:
