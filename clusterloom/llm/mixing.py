@@ -232,9 +232,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     mixed = mix_sources(docs.toDF(*name.values()), id_col=name[id_col], source_col=name[source_col],
                         text_col=text, carry=others, **options)
     words = F.filter(F.split(F.col(text), SPACE), lambda w: w != "")
-    part = F.array_join(
-        F.flatten(F.transform("ranges", lambda s: F.slice(words, s["lo"] + 1, s["hi"] - s["lo"]))), " "
-    )
+
+    def spans_of(all_words: Column) -> Column:
+        spans = F.transform("ranges", lambda s: F.slice(all_words, s["lo"] + 1, s["hi"] - s["lo"]))
+        return F.array_join(F.flatten(spans), " ")
+
+    # as the variable of a function the words are split once, not again for each span
+    part = F.get(F.transform(F.array(words), spans_of), 0)
     copies = F.array_repeat(F.col(text), F.col("passes").cast("int"))
     parts = F.when(F.size("ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
     taken = mixed.withColumn("__text", F.explode(F.concat(copies, parts)))
