@@ -36,7 +36,7 @@ from clusterloom.lineage import cut_lineage
 MIN_WORDS = 50
 HEAD_WORDS = 18
 #: Occurrences of a head for each part in which its runs are sorted.
-ROWS_PER_PART = 100_000
+ROWS_PER_PART = 10_000
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -236,14 +236,14 @@ def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without their extra passages, and without texts that held nothing else.
 
-    ``n_chars``, where there is one, follows the text.
+    ``n_chars``, where there is one, follows the text. Null, empty and short texts stay as
+    they are; rows equal in id and text are one document and lose the same words; an empty
+    table gives none. All columns of ``docs`` stay, whatever their names.
     """
     found = repeated_passages(docs, id_col, text_col, **options).select("row", "extra")
     name = {c: f"__column_{i}" for i, c in enumerate(docs.columns)}
-    named = docs.withColumn("__row", row_hash(id_col, text_col)).select(
-        "__row", *[F.col(c).alias(n) for c, n in name.items()]
-    )
-    joined = named.join(found.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    named = docs.select(row_hash(id_col, text_col).alias("row"), *[F.col(c).alias(n) for c, n in name.items()])
+    joined = named.join(found, "row", "left").drop("row")
     text = name[text_col]
     at = joined.columns.index(text)
 

@@ -334,7 +334,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def ordinary_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those predicted to be toxic."""
+    """``docs`` without those predicted to be toxic.
+
+    Null and empty texts are scored like a text without striking windows, repeated rows
+    alike; an empty table gives none. All columns of ``docs`` stay, whatever their names.
+    """
     model = fit(docs, labels, text_col=text_col, **options)
-    scored = score(docs, model, text_col, "__score")
-    return scored.filter(F.col("__score") < PREDICT_FROM).select(*docs.columns)
+    names = [f"__column_{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    scored = score(docs.toDF(*names), model, text, "score")
+    return scored.filter(F.col("score") < PREDICT_FROM).drop("score").toDF(*docs.columns)
