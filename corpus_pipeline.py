@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterloom.lineage import new_folder, remove_folder
 from clusterloom.llm import mixing, packing, simhash, suffixes, toxicity
 
 #: Near copies share this much of their five-word shingles.
@@ -69,8 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, in order.
+
+    What a stage keeps is written as Parquet beside the checkpoints and read again, so the
+    next one's jobs do not make it anew, and no lost executor changes what they see. It
+    goes when the next stage's is there.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        folder = new_folder(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
+    return STAGES[-1][1](spark, docs, sf_dir)
