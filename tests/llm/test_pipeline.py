@@ -9,10 +9,10 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from clusterloom.llm import mixing, suffixes, toxicity
+from clusterloom.llm import mixing, simhash, suffixes, toxicity
 from tests.conftest import SF_DIR
+from tests.llm.test_near_copies import brute as brute_copies
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import brute_fingerprint, components
 from tests.llm.test_suffixes import brute as brute_repeats
 
 
@@ -35,7 +35,7 @@ def test_stages_are_those_asked_for():
     assert corpus_pipeline.ORACLE_SQL is None
     assert contract.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in contract.oracle_sql()
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op") and n[2].isdigit()}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
 
 
 def test_all_but_the_last_return_documents(stages):
@@ -51,8 +51,33 @@ def test_toxic_documents_go(spark, stages):
 
 def test_one_near_copy_stays(stages):
     rows = sorted((r.doc_id, r.text) for r in stages[1].collect())
-    label = components([brute_fingerprint(t) for _, t in rows], corpus_pipeline.COPY_RADIUS)
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted({rows[i][0] for i in label})
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(brute_copies(rows)))
+
+
+def test_columns_that_stages_use_themselves_stay(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    odd = docs.withColumns({c: F.lit(c) for c in ("__row", "row", "__score", "key", "held", "__text", "extra", "bits", "node")})
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    for kept in (toxicity.ordinary_documents(odd, labels), simhash.one_of_each_group(odd, groups=simhash.near_copies),
+                 suffixes.deduplicated(odd), mixing.mixed_documents(odd)):
+        assert kept.dtypes == odd.dtypes
+        for r in kept.collect():
+            assert all(r[c] == c for c in odd.columns[5:])
+
+
+def test_of_equal_texts_one_fixed_row_stays(spark):
+    rows = [(1, "the same text", s) for s in "abcdef"] * 2
+    made = [
+        simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect()
+        for n in (1, 3, 7)
+    ]
+    assert len(made[0]) == 1 and made[0] == made[1] == made[2]
+
+
+def test_words_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "word " * 9000, "a")], "doc_id long, text string, source string")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2
 
 
 def test_repeats_are_cut(stages):
