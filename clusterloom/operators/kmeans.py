@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,10 @@ from clusterloom.functions.vectors import (
 # Centroid values the driver ships with every task (64 MB of doubles).
 MAX_CENTROID_VALUES = 1 << 23
 
+# k-means++: draws that one pass looks ahead, and parts of the rows that each keep a candidate.
+DRAWS_PER_PASS = 4
+RACE_PARTS = 4
+
 INITS = ("random", "plus", "hash", "roundrobin")
 
 Centroids = list[tuple[int, list[float]]]
@@ -146,29 +150,69 @@ def _pick_first(items: DataFrame, spec: Features, pk: str, seed: int) -> list[fl
     return None if best is None else spec.values(best)
 
 
-def _pick_weighted(
-    items: DataFrame, spec: Features, pk: str, chosen: list[list[float]], seed: int
-) -> list[float] | None:
-    """A pick with probability proportional to the squared distance to ``chosen``.
+def _races(
+    items: DataFrame, spec: Features, pk: str, chosen: list[list[float]], seed: int, n_draws: int
+) -> list[list[Row]]:
+    """One pass: the best race of each of the next draws in each part of the rows.
 
-    The smallest of ``-ln(u) / weight`` is such a draw (exponential races), so
-    no running total over the whole table is needed.
+    The smallest of ``-ln(u) / weight`` is a draw with probability proportional to the
+    weight, the squared distance to ``chosen`` (exponential races), so no running total
+    over the whole table is needed.
     """
-    weighed = with_nearest_dist2(items, spec, chosen, "__w").filter(F.col("__w") > 0)
-    drawn = with_uniform(weighed, pk, "__u", seed, draw=len(chosen))
-    race = (-F.ln("__u") / F.col("__w")).alias("race")
-    best = drawn.agg(F.min(F.struct(race, pk, *spec.columns)).alias("r")).first()["r"]
-    return None if best is None else spec.values(best)
+    weight = F.col("__w")
+    weighed = with_nearest_dist2(items, spec, chosen, "__w").filter(weight > 0)
+    for j in range(n_draws):
+        weighed = with_uniform(weighed, pk, f"__u{j}", seed, draw=len(chosen) + j)
+    part = F.pmod(F.xxhash64(pk), F.lit(RACE_PARTS))
+    best = [
+        F.min(F.when(part == p, F.struct((-F.ln(f"__u{j}") / weight).alias("race"), pk, weight, *spec.columns)))
+        for j in range(n_draws) for p in range(RACE_PARTS)
+    ]
+    row = list(weighed.agg(*best).first())
+    return [[r for r in row[at:at + RACE_PARTS] if r] for at in range(0, len(row), RACE_PARTS)]
+
+
+def _pick_several(
+    items: DataFrame, spec: Features, pk: str, chosen: list[list[float]], seed: int, n_draws: int
+) -> list[list[float]]:
+    """The next picks, one at least if any row is left, at most ``n_draws``, from one pass.
+
+    A pick brings distances down and so only makes races longer. A later draw's best
+    race therefore still wins if its own row has kept its distance, and it is shorter
+    than what the best ones of all parts that have not kept theirs were before.
+    """
+    picks: list[list[float]] = []
+    for heats in _races(items, spec, pk, chosen, seed, n_draws):
+        kept, lost = [], []
+        for heat in heats:
+            values = spec.values(heat)
+            nearer = any(_dist2(values, pick) < heat["__w"] for pick in picks)
+            (lost if nearer else kept).append(heat)
+        if not kept:
+            break
+        best = min(kept, key=lambda heat: (heat["race"], heat[1]))
+        if any(heat["race"] <= best["race"] for heat in lost):
+            break
+        picks.append(spec.values(best))
+    return picks
+
+
+def _dist2(a: Sequence[float], b: Sequence[float]) -> float:
+    """Added from left to right, as the expression on the rows is."""
+    total = 0.0
+    for x, y in zip(a, b):
+        total += (x - y) * (x - y)
+    return total
 
 
 def _plus_centroids(items: DataFrame, spec: Features, pk: str, k: int, seed: int) -> Centroids:
     first = _pick_first(items, spec, pk, seed)
     chosen = [] if first is None else [first]
     while chosen and len(chosen) < k:
-        following = _pick_weighted(items, spec, pk, chosen, seed)
-        if following is None:  # fewer than k distinct points
+        following = _pick_several(items, spec, pk, chosen, seed, min(DRAWS_PER_PASS, k - len(chosen)))
+        if not following:  # fewer than k distinct points
             break
-        chosen.append(following)
+        chosen += following
     return list(enumerate(chosen))
 
 

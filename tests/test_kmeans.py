@@ -188,7 +188,7 @@ def test_weighted_draw_follows_the_weights(spark):
     df = line(spark, [0, 1, 2, 3])
     table, spec = vectors.feature_table(df, ["x"], keep=["id"])
     table = table.persist()
-    draws = [km._pick_weighted(table, spec, "id", [[0.0]], seed)[0] for seed in range(60)]
+    draws = [km._pick_several(table, spec, "id", [[0.0]], seed, 1)[0][0] for seed in range(60)]
     table.unpersist()
     shares = [draws.count(v) / len(draws) for v in (1.0, 2.0, 3.0)]
     assert np.allclose(shares, [1 / 14, 4 / 14, 9 / 14], atol=0.2)
@@ -246,3 +246,27 @@ def test_slices_are_fixed_rounds_within_each(spark):
         part = df.filter(slices[name])
         want |= {(name, r["id"]): r["cid"] for r in km.kmeans_fixed_rounds(part, "id", ["x", "y"], 3, 4).collect()}
     assert found == want and found["even", 500] is None
+
+
+@pytest.mark.parametrize("draws, parts", [(4, 4), (7, 2), (3, 1)])
+def test_several_draws_of_a_pass_are_those_of_single_ones(spark, monkeypatch, draws, parts):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(600, 2)) + rng.integers(0, 12, size=(600, 1)) * 6.0
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double").cache()
+    passes = []
+    plain = km._races
+    monkeypatch.setattr(km, "_races", lambda *args: passes.append(1) or plain(*args))
+
+    def seeds(n_draws):
+        monkeypatch.setattr(km, "DRAWS_PER_PASS", n_draws)
+        passes.clear()
+        rows = km.kmeans_plus_plus(df, "id", ["x", "y"], 24, seed=5, storage=None).collect()
+        return sorted(map(tuple, rows)), len(passes)
+
+    single, n_single = seeds(1)
+    monkeypatch.setattr(km, "RACE_PARTS", parts)
+    several, n_several = seeds(draws)
+    assert several == single and len(single) == 24
+    assert n_single == 23 and n_several <= 16
+    if (draws, parts) == (7, 2):
+        assert n_several <= 12
