@@ -9,6 +9,7 @@ literals in the plan; so there is no join, and no lineage that grows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -33,8 +34,9 @@ from clusterloom.functions.vectors import (
     with_nearest,
     with_nearest_dist2,
 )
+from clusterloom.operators.kmeans_large import LargeKMeansModel, kmeans_fit_large
 
-# Centroid values the driver ships with every task (64 MB of doubles).
+# Centroid values the driver ships with every task (64 MB of doubles); more are a table.
 MAX_CENTROID_VALUES = 1 << 23
 
 # k-means++: draws that one pass looks ahead, and parts of the rows that each keep a candidate.
@@ -84,8 +86,6 @@ def check_arguments(k: int, n_features: int, max_iter: int = 1) -> None:
         raise ValueError("at least one feature is needed")
     if max_iter < 1:
         raise ValueError("max_iter must be at least 1")
-    if k * n_features > MAX_CENTROID_VALUES:
-        raise ValueError(f"k * features must not exceed {MAX_CENTROID_VALUES}")
 
 
 def kmeans_validate(df: DataFrame, pk: str, features: str | Sequence[str], k: int) -> DataFrame:
@@ -392,6 +392,15 @@ def _collect_round(round_df: DataFrame, k: int, empty: str) -> tuple[Centroids,
     return sorted(means.items()), sum(r["moved"] for r in rows)
 
 
+def _labelled(items: DataFrame, pk: str, k: int, init: str, seed: int) -> DataFrame:
+    """The items with their first clusters as ``__cid``."""
+    if init == "random":
+        return init_random_labels(items, pk, k, seed, "__cid")
+    if init == "hash":
+        return init_hash(items, pk, k, seed, "__cid")
+    return init_roundrobin(items, pk, k, "__cid")
+
+
 def kmeans_fit(
     df: DataFrame,
     pk: str,
@@ -404,7 +413,8 @@ def kmeans_fit(
     empty: str = "drop",
     seed: int = 1,
     storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
-) -> KMeansModel:
+    folder: str | None = None,
+) -> KMeansModel | LargeKMeansModel:
     """Run the loop and return the centroids of its last assignment pass.
 
     ``max_iter`` is the number of assignment passes.  ``changed_at_most`` stops
@@ -412,6 +422,11 @@ def kmeans_fit(
     says what happens to a cluster without rows: ``drop`` it, or move it to the
     origin (``zero``).  ``storage=None`` rereads the source in every round,
     for tables whose features do not fit on the executors.
+
+    Beyond ``MAX_CENTROID_VALUES`` centroid values the centroids are a table and not on
+    the driver, and so may they be below with a ``folder``: rounds are stored there, and a
+    call with the same arguments goes on from the last one. k-means++ holds its picks on
+    the driver, so it is refused then.
     """
     if init not in INITS:
         raise ValueError(f"init must be one of {INITS}")
@@ -428,14 +443,21 @@ def kmeans_fit(
         if counts["n"] == counts["missing"]:
             raise ValueError("no row has all features")
         items = table.filter(USABLE)
+        if folder is not None or k * spec.size > MAX_CENTROID_VALUES:
+            if init == "plus":
+                raise ValueError(f"k-means++ needs k * features up to {MAX_CENTROID_VALUES}, and no folder")
+            n_pivots = max(1, min(math.isqrt(k), MAX_CENTROID_VALUES // spec.size))
+            named = features if isinstance(features, str) else list(features)
+            return kmeans_fit_large(
+                df, pk, features, k, _labelled(items, pk, k, init, seed), spec, n_pivots, max_iter=max_iter,
+                changed_at_most=changed_at_most, empty=empty, n_excluded=counts["missing"], folder=folder,
+                arguments={"pk": pk, "features": named, "k": k, "init": init, "max_iter": max_iter,
+                           "changed_at_most": changed_at_most, "empty": empty, "seed": seed},
+            )
         if init == "plus":
             centroids = _plus_centroids(items, spec, pk, k, seed)
         else:
-            labelled = {
-                "random": lambda: init_random_labels(items, pk, k, seed, "__cid"),
-                "hash": lambda: init_hash(items, pk, k, seed, "__cid"),
-                "roundrobin": lambda: init_roundrobin(items, pk, k, "__cid"),
-            }[init]()
+            labelled = _labelled(items, pk, k, init, seed)
             centroids, _ = _collect_round(kmeans_round(labelled, spec), k, empty)
         earlier: Centroids | None = None
         changes: list[int] = []

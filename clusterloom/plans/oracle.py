@@ -493,6 +493,7 @@ ORACLE_SQL: dict[str, str] = {
     "kmeans_sql_plus": with_(
         [ITEMS, *_plus_ctes(K), *_plus_rounds(10)], "SELECT cid, event_id FROM plus_final"),
     "kmeans_sql_vectors": with_(_vector_ctes(8, 5), "SELECT cid, vec_id FROM a5"),
+    "kmeans_stored_rounds": with_(_vector_ctes(8, 5), "SELECT cid, vec_id FROM a5"),
     "kmeans_fixed_rounds": with_(
         [ITEMS, *_hash_clusters("all", 10)], "SELECT event_id, cid FROM all_final"),
     "kmeans_roundrobin": with_(

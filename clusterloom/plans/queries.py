@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.functions import bits
+from clusterloom.lineage import new_folder
 from clusterloom.operators import audit, ftest, kmeans, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
 from clusterloom.sources import session_lines
@@ -315,6 +316,15 @@ def kmeans_sql_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.select("cid", "vec_id")
 
 
+def kmeans_stored_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters with centroids as a table, and rounds from which the loop can go on."""
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = kmeans.kmeans_fit(
+        embeddings, "vec_id", "embedding", 8, init="random", max_iter=5, folder=new_folder(spark, "kmeans")
+    )
+    return model.assign(embeddings).select("cid", "vec_id")
+
+
 def kmeans_fixed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.kmeans_fixed_rounds(measurements(spark, sf_dir), "event_id", FEATURES, K)
 
@@ -453,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "kmeans_sql": kmeans_sql,
     "kmeans_sql_plus": kmeans_sql_plus,
     "kmeans_sql_vectors": kmeans_sql_vectors,
+    "kmeans_stored_rounds": kmeans_stored_rounds,
     "kmeans_fixed_rounds": kmeans_fixed_rounds,
     "kmeans_roundrobin": kmeans_roundrobin,
     "kmeans_join_back": kmeans_join_back,
