@@ -136,12 +136,12 @@ def knn_similarity(
     @F.arrow_udf("float")
     def score(batch: pa.Array) -> pa.Array:
         best = top_scores(_matrix(batch), matrix, k)
-        return pa.array(_running_mean(best).astype(np.float32))
+        return pa.array(running_mean(best).astype(np.float32))
 
     return table.select(item_id, score("__words").alias("score"))
 
 
-def _running_mean(best: np.ndarray) -> np.ndarray:
+def running_mean(best: np.ndarray) -> np.ndarray:
     """Row means, added from left to right as the expression form does."""
     total = np.zeros(len(best))
     for column in best.T:
@@ -214,7 +214,7 @@ def _visits(k: int, id_type: pa.DataType | None = None):
 
         def result():
             order = np.sort(best, axis=1)[:, ::-1]
-            return pa.RecordBatch.from_arrays([ids, pa.array(_running_mean(order).astype(np.float32))], names=["id", "score"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(running_mean(order).astype(np.float32))], names=["id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):

@@ -403,6 +403,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM sims s JOIN bits b ON b.vec_id = s.vec_id AND b.label = s.label"""),
     "knn_similarity": KNN,
     "knn_similarity_blocked": KNN,
+    "knn_sql": KNN,
     "knn_similarity_all": with_([BITS, f"""sims AS (
         SELECT a.vec_id, coalesce(list_sum([a.b[i] * q.b[i] FOR i IN range(1, {D + 1})])::DOUBLE
             / nullif(list_sum([greatest(a.b[i], q.b[i]) FOR i IN range(1, {D + 1})]), 0), 0.0) AS similarity
@@ -457,6 +458,9 @@ ORACLE_SQL: dict[str, str] = {
     "kmeans_assign": with_(
         [ITEMS, _fixed_centroids("start", START_CENTROIDS), _assign_cte("assigned", "items", "start")],
         "SELECT event_id, cid FROM assigned"),
+    "kmeans_assign_sql": with_(
+        [ITEMS, _fixed_centroids("start", START_CENTROIDS), _assign_cte("assigned", "items", "start")],
+        "SELECT event_id, cid FROM assigned"),
     "kmeans_update": with_(
         [ITEMS, _fixed_centroids("start", START_CENTROIDS), _assign_cte("assigned", "items", "start")],
         f"SELECT cid, {MEANS} FROM assigned GROUP BY cid"),

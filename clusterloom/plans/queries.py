@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.functions import bits
+from clusterloom.functions.tables import register_table_functions
 from clusterloom.lineage import new_folder
 from clusterloom.operators import audit, ftest, kmeans, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
@@ -220,6 +221,31 @@ def knn_similarity_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("vec_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+def knn_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores by the table function, called from SQL."""
+    register_table_functions(spark)
+    fingerprints(spark, sf_dir).createOrReplaceTempView("knn_sql_items")
+    label_fingerprints(spark, sf_dir).createOrReplaceTempView("knn_sql_queries")
+    spark.sql("DECLARE OR REPLACE VARIABLE knn_sql_words ARRAY<ARRAY<BIGINT>>")
+    spark.sql("SET VAR knn_sql_words = (SELECT collect_list(words) FROM knn_sql_queries)")
+    return spark.sql("""
+        SELECT vec_id, round(CAST(score AS DOUBLE), 5) AS score
+        FROM knn_similarity(items => TABLE(SELECT vec_id, words FROM knn_sql_items), queries => knn_sql_words)
+    """)
+
+
+def kmeans_assign_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of given centroids by the table function, called from SQL."""
+    register_table_functions(spark)
+    measurements(spark, sf_dir).createOrReplaceTempView("assign_sql_items")
+    centres = ", ".join(f"array({', '.join(f'{x}D' for x in vector)})" for _, vector in START_CENTROIDS)
+    return spark.sql(f"""
+        SELECT event_id, cid FROM nearest_centroid(
+            items => TABLE(SELECT event_id, array({', '.join(FEATURES)}) AS v FROM assign_sql_items),
+            centroids => array({centres}))
+    """)
+
+
 def _rounded_test(df: DataFrame) -> DataFrame:
     return rounded(rounded(df, ["var1", "var2", "f"]), ["lower", "upper"], 5)
 
@@ -448,6 +474,8 @@ QUERIES: dict[str, Query] = {
     "knn_similarity_blocked": knn_similarity_blocked,
     "knn_similarity_all": knn_similarity_all,
     "knn_similarity_of_set": knn_similarity_of_set,
+    "knn_sql": knn_sql,
+    "kmeans_assign_sql": kmeans_assign_sql,
     "f_test_two_groups": f_test_two_groups,
     "f_test_vs_control": f_test_vs_control,
     "kmeans_validate": kmeans_validate,
