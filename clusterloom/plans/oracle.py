@@ -553,6 +553,16 @@ ORACLE_SQL: dict[str, str] = {
     "text_like_range_scan": """
         SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
         WHERE text LIKE '%ing%'""",
+    "text_signed_scan": """
+        SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents WHERE text LIKE '%tion of%'""",
+    "dominant_event": """
+        WITH counted AS (
+            SELECT user_id, CAST(floor(value) AS BIGINT)::VARCHAR AS label, count(*) AS c FROM events
+            WHERE value IS NOT NULL GROUP BY 1, 2)
+        SELECT user_id, label, c FROM counted
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, label) = 1""",
+    "matrix_round_trip": with_([ITEMS], """
+        SELECT row_number() OVER (ORDER BY event_id) AS row, event_id, value, hour, dow FROM items"""),
     "global_row_number": """
         SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, value, event_id) AS row_number
         FROM events""",

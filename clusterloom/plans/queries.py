@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clusterloom.functions import bits
 from clusterloom.functions.tables import register_table_functions
 from clusterloom.lineage import new_folder
-from clusterloom.operators import audit, ftest, kmeans, ordered, scan, similarity, subset
+from clusterloom.operators import audit, ftest, kmeans, matrix, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
 from clusterloom.sources import session_lines
 
@@ -463,6 +463,26 @@ def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.weighted_draws(weighed_events(spark, sf_dir), "event_id", "dist2", 10)
 
 
+def dominant_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's most frequent properties and their number, without knowing which there are."""
+    events = table(spark, sf_dir, "events").select("user_id", F.floor("value").cast("string").alias("label"))
+    return traffic.dominant_label(events, "user_id", "label")
+
+
+def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements as blocks of a matrix, and their rows again."""
+    blocks = matrix.matrix_blocks(measurements(spark, sf_dir), "event_id", FEATURES, height=1000)
+    return matrix.rows_of_blocks(blocks, "event_id", FEATURES)
+
+
+def text_signed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a word of a pattern, from a copy of the table with signatures."""
+    path = new_folder(spark, "signed")
+    scan.write_with_signatures(table(spark, sf_dir, "documents").select("doc_id", "text"), path, "doc_id", "text")
+    found = scan.signed_like_scan(spark, path, "text", "%tion of%")
+    return found.select("doc_id", F.length("text").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "popc": popc,
     "popc_and": _pair_query("bitwiseAND"),
@@ -506,6 +526,9 @@ QUERIES: dict[str, Query] = {
     "process_tree": process_tree,
     "process_tree_lines": process_tree_lines,
     "text_like_range_scan": text_like_range_scan,
+    "text_signed_scan": text_signed_scan,
+    "dominant_event": dominant_event,
+    "matrix_round_trip": matrix_round_trip,
     "global_row_number": global_row_number,
     "running_share": running_share,
     "weighted_draws": weighted_draws,

@@ -57,6 +57,21 @@ def dominant_cluster(
     return best.filter("c > 0").select(*keys, place.alias(cid), "c")
 
 
+def dominant_label(df: DataFrame, key: str | Sequence[str], label: str) -> DataFrame:
+    """``(*key, label, c)``: the most frequent label per key, the smallest on ties.
+
+    For labels that are not known beforehand. Rows are counted for each key and label,
+    with partial counts before the shuffle, and spread by both: a key that holds much of
+    the table is spread over as many tasks as it has labels. The best of these counts is a
+    second aggregate, of which each task sends one row for a key. Rows without a label do
+    not count; a key with no others is left out. Null keys are a key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    named = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"))
+    best = named.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(label).alias("label"))).alias("__best"))
+    return best.select(*keys, F.col("__best.label").alias(label), (-F.col("__best.n")).alias("c"))
+
+
 def cluster_reports(
     measurements: DataFrame,
     pk: str,
