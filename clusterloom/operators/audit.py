@@ -39,6 +39,9 @@ PATTERNS = {
 # bytes beyond ASCII, its bytes as hexadecimal digits.
 ARGUMENT = r' a([0-9]+)=("[^"]*"|[0-9A-F]+)(?= |$)'
 
+# The same, or a piece of a long argument: its number, the piece's, and the text.
+PIECE = r' a([0-9]+)(?:\[([0-9]+)\])?=("[^"]*"|[0-9A-F]+)(?= |$)'
+
 _NUMBERS = {"serial": "bigint", "ppid": "bigint", "pid": "bigint", "auid": "bigint",
             "euid": "bigint", "argc": "int", "event_time": "decimal(18,3)"}
 
@@ -84,6 +87,42 @@ def arguments(line: Column) -> Column:
     return F.array_join(F.transform(after_program, shown), " ")
 
 
+def event_arguments(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``(event_time, serial, args)`` of every event that has EXECVE records.
+
+    A long argument is logged in pieces, ``a1[0]=… a1[1]=…``, and these may be spread over
+    several records of one event, which need not be neighbours in the log: pieces are
+    brought together by event and number, joined in order and decoded as a whole, since a
+    character may be cut between two of them. ``args`` are the arguments after the program
+    name in quotes, by number, as :func:`audit_parse` gives them for one record.
+    """
+    def found(group: int) -> Column:
+        return F.regexp_extract_all(F.col(value), F.lit(PIECE), F.lit(group))
+
+    stamp = [
+        F.regexp_extract(value, PATTERNS[name], 1).cast(_NUMBERS[name]).alias(name) for name in ("event_time", "serial")
+    ]
+    records = lines.filter(F.col(value).rlike(r"^type=EXECVE msg=audit\([0-9]+\.[0-9]+:[0-9]+\)"))
+    found_in = records.select(*stamp, found(1).alias("number"), found(2).alias("piece"), found(3).alias("text"))
+    each = found_in.select(
+        "event_time", "serial", F.explode_outer(F.arrays_zip("number", "piece", "text")).alias("p")
+    ).select(
+        "event_time", "serial", F.col("p.number").cast("int").alias("number"),
+        F.when(F.col("p.piece") != "", F.col("p.piece")).otherwise("0").cast("int").alias("piece"), "p.text",
+    )
+    quoted = F.startswith("text", F.lit('"'))
+    as_bytes = F.when(quoted, F.expr("cast(substring(text, 2, length(text) - 2) AS binary)")).otherwise(F.unhex("text"))
+    arguments = each.select("event_time", "serial", "number", "piece", as_bytes.alias("bytes")).groupBy(
+        "event_time", "serial", "number"
+    ).agg(F.array_sort(F.collect_set(F.struct("piece", F.hex("bytes").alias("digits")))).alias("pieces"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.col("pieces.digits"), "")).cast("string"))
+    shown = arguments.select("event_time", "serial", "number", F.concat(F.lit('"'), text, F.lit('"')).alias("shown"))
+    after_program = F.array_sort(F.collect_list(F.when(F.col("number") >= 1, F.struct("number", "shown"))))
+    return shown.groupBy("event_time", "serial").agg(
+        F.array_join(F.transform(after_program, lambda a: a["shown"]), " ").alias("args")
+    )
+
+
 def _is_call(calls: dict[str, str], name: str) -> Column:
     numbered = F.concat_ws(":", "arch", "syscall").isin(*[f"{a}:{n}" for a, n in calls.items()])
     return (F.col("type") == "SYSCALL") & ((F.col("syscall") == name) | numbered)
@@ -117,9 +156,12 @@ def session_records(records: DataFrame) -> DataFrame:
     )
 
 
-def process_table(records: DataFrame) -> DataFrame:
+def process_table(records: DataFrame, arguments: DataFrame | None = None) -> DataFrame:
     """One row per exited pid: its last exit record, with its last exec arguments.
 
+    ``arguments`` are those of :func:`event_arguments`, for logs that may have long ones
+    in pieces; by default the arguments are taken from whole records.
+
     Arguments are a record of their own that lacks the pid, so exec records are
     first brought together per event.  Both sides of the final join are grouped
     by pid already, so it moves no row again.
@@ -133,7 +175,10 @@ def process_table(records: DataFrame) -> DataFrame:
     execs = records.filter(is_exec() | is_text).groupBy(*order).agg(
         F.max(F.when(~is_text, F.col("pid"))).alias("pid"),
         F.max(F.when(is_text, F.col("args"))).alias("args"),
-    ).filter(F.col("pid").isNotNull() & F.col("args").isNotNull())
+    )
+    if arguments is not None:
+        execs = execs.drop("args").join(arguments, order)
+    execs = execs.filter(F.col("pid").isNotNull() & F.col("args").isNotNull())
     arguments = execs.groupBy("pid").agg(F.max(F.struct(*order, "args")).alias("last")).select(
         "pid", "last.args"
     )

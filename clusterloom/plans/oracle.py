@@ -532,6 +532,10 @@ ORACLE_SQL: dict[str, str] = {
             || string_agg(path_entry, '&' ORDER BY report_id) || '&sensor=false' AS url FROM paths
         GROUP BY report_id // 125"""),
     "audit_parse": AUDIT_PARSE,
+    "audit_source": """
+        SELECT event_id AS serial, (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') AS event_time,
+            '"' || repeat('é ' || event_type || ' ' || user_id || ';', 20) || '" "' || event_id || '"' AS args
+        FROM events""",
     "audit_counts": with_([AUDIT_LINES], """
         SELECT count(*) AS n_lines, count(*) FILTER (NOT starts_with(value, 'type=')) AS n_malformed,
             count(*) FILTER (starts_with(value, 'type=') AND value NOT LIKE '% syscall=252 %') AS n_session
@@ -541,7 +545,7 @@ ORACLE_SQL: dict[str, str] = {
     "process_tree": PROCESS_TREE,
     "process_tree_lines": f"""
         WITH RECURSIVE stamped AS (
-            SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, epoch_ms(ts) AS ms FROM events),
+            SELECT event_id + 2 AS pid, event_id // 2 + 1 AS ppid, epoch_us(ts) // 1000 AS ms FROM events),
         walk AS (
             SELECT pid, [struct_pack(ms, pid)] AS way FROM stamped WHERE ppid = 1
             UNION ALL

@@ -18,7 +18,7 @@ from clusterloom.functions.tables import register_table_functions
 from clusterloom.lineage import new_folder
 from clusterloom.operators import audit, ftest, kmeans, matrix, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
-from clusterloom.sources import session_lines
+from clusterloom.sources import read_audit_log, session_lines
 
 DIMENSIONS = 64
 K = 5
@@ -404,6 +404,30 @@ def audit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def piecewise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXECVE records of events whose first argument is long: three pieces in two records."""
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("sec"),
+        F.date_format("ts", "SSS").alias("ms"),
+        F.expr("hex(repeat(concat('é ', event_type, ' ', user_id, ';'), 20))").alias("digits"),
+    )
+    stamp = "concat('type=EXECVE msg=audit(', sec, '.', ms, ':', event_id, '): ')"
+    lines = [
+        f"concat({stamp}, 'a1[2]=', substring(digits, 33), ' a2=\"', event_id, '\"')",
+        f"concat({stamp}, 'argc=3 a0=\"run\" a1_len=', length(digits), ' a1[0]=', substring(digits, 1, 2), "
+        "' a1[1]=', substring(digits, 3, 30))",
+    ]
+    return e.select(F.explode(F.expr(f"array({', '.join(lines)})")).alias("value"))
+
+
+def audit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arguments of each event of a written log, whose records lie wherever they fell."""
+    folder = new_folder(spark, "log")
+    piecewise_lines(spark, sf_dir).repartition(F.xxhash64("value")).write.text(folder)
+    arguments = audit.event_arguments(read_audit_log(spark, folder))
+    return arguments.select("serial", F.col("event_time").cast("string").alias("event_time"), "args")
+
+
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.line_counts(audit.audit_parse(audit_lines(spark, sf_dir)))
 
@@ -521,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "traffic_time_slices": traffic_time_slices,
     "traffic_map_report": traffic_map_report,
     "audit_parse": audit_parse,
+    "audit_source": audit_source,
     "audit_counts": audit_counts,
     "audit_session": audit_session,
     "process_tree": process_tree,

@@ -185,3 +185,44 @@ def test_session_by_login_user(spark, tmp_path):
     (tmp_path / "audit.log").write_text("\n".join(lines))
     kept = {r["value"] for r in read_audit_log(spark, str(tmp_path / "audit.log"), auid=42).collect()}
     assert kept == set(lines[:4])
+
+
+def test_arguments_in_pieces_over_split_ends(spark, tmp_path):
+    def record(serial, rest):
+        return f"type=EXECVE msg=audit(1500000000.250:{serial}): {rest}"
+
+    long = "größer als ein Stück"
+    digits = long.encode().hex().upper()
+    lines = [
+        record(1, f'argc=3 a0="run" a1_len={len(digits)} a1[0]={digits[:6]}'), record(2, 'argc=2 a0="ls" a1="a1=x"'),
+        record(1, f'a1[2]={digits[20:]} a2="last"'), "no audit line", record(3, 'argc=1 a0="alone"'),
+        "type=EXECVE garbage a1=\"x\"", record(1, f"a1[1]={digits[6:20]}"),
+        record(4, 'argc=2 a0="cat" a1[1]="def" a1[0]="abc"'), record(1, f"a1[1]={digits[6:20]}"),
+    ]
+    (tmp_path / "audit.log").write_text("\n".join(lines * 1 + [f"filler {i}" * 9 for i in range(50)]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (37, 200, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            log = spark.read.text(str(tmp_path))
+            got = {r["serial"]: r["args"] for r in audit.event_arguments(log).collect()}
+            assert got == {1: f'"{long}" "last"', 2: '"a1=x"', 3: "", 4: '"abcdef"'}
+            assert log.rdd.getNumPartitions() > 1 or size > 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_processes_with_arguments_in_pieces(spark):
+    def stamp(serial):
+        return f"msg=audit(1500000000.000:{serial}):"
+
+    lines = [
+        f"type=SYSCALL {stamp(1)} arch=c000003e syscall=59 ppid=1 pid=7 exe=\"/bin/a\"",
+        f"type=EXECVE {stamp(1)} argc=2 a0=\"a\" a1[0]=\"one \"", f"type=EXECVE {stamp(1)} a1[1]=\"two\"",
+        f"type=SYSCALL {stamp(2)} arch=c000003e syscall=231 ppid=1 pid=7 exe=\"/bin/a\"",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    table = audit.process_table(audit.session_records(audit.audit_parse(df)), audit.event_arguments(df))
+    assert [(r["pid"], r["args"]) for r in table.collect()] == [(7, '"one two"')]
