@@ -558,7 +558,24 @@ def kmeans_sliced(
 
 
 def _with_nearest_of_slice(items: DataFrame, spec: Features, centroids: list[Centroids]) -> DataFrame:
-    """Add ``__cid``, the nearest of the centroids of the row's ``__slice``."""
+    """Add ``__cid``, the nearest of the centroids of the row's ``__slice``.
+
+    Up to the limit of other forms as generated code, beyond it in numpy on Arrow batches.
+    """
+    if not unrolls(spec, sum(map(len, centroids))):
+        ids = np.asarray(_unzip(centroids[0])[0], dtype=np.int32)  # the same in every slice
+        vectors = [np.asarray(_unzip(own)[1], dtype=np.float64) for own in centroids]
+
+        @F.arrow_udf("int")
+        def nearest_of_slice(slices: pa.Array, rows: pa.Array) -> pa.Array:
+            of, matrix = slices.to_numpy(), batch_matrix(rows)
+            found = np.empty(len(of), dtype=np.int32)
+            for s in np.unique(of):
+                here = np.flatnonzero(of == s)
+                found[here] = ids[nearest_in_batch(np.ascontiguousarray(matrix[:, here]), vectors[s])[0]]
+            return pa.array(found)
+
+        return items.withColumn("__cid", nearest_of_slice("__slice", spec.array))
     distances, nearest = None, None
     for s, own in enumerate(centroids):
         squares, pick = nearest_sql(spec, *_unzip(own))

@@ -531,6 +531,10 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT report_id // 125 AS page, 'http://maps.google.com/maps/api/staticmap?zoom=11&size=640x480&scale=2&'
             || string_agg(path_entry, '&' ORDER BY report_id) || '&sensor=false' AS url FROM paths
         GROUP BY report_id // 125"""),
+    "traffic_csv": """
+        SELECT user_id::INTEGER AS report_id, count(*) AS n, sum(hour(ts))::BIGINT AS vehicles,
+            strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, any_value(c_name) AS report_name
+        FROM events JOIN customer ON c_custkey = user_id GROUP BY user_id""",
     "audit_parse": AUDIT_PARSE,
     "audit_source": """
         SELECT event_id AS serial, (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') AS event_time,

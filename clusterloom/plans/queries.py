@@ -12,13 +12,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clusterloom.functions import bits
 from clusterloom.functions.tables import register_table_functions
 from clusterloom.lineage import new_folder
 from clusterloom.operators import audit, ftest, kmeans, matrix, ordered, scan, similarity, subset
 from clusterloom.plans import traffic
-from clusterloom.sources import read_audit_log, session_lines
+from clusterloom.sources import (
+    TRAFFIC_METADATA_SCHEMA,
+    TRAFFIC_RAWDATA_SCHEMA,
+    read_audit_log,
+    read_traffic_metadata,
+    read_traffic_rawdata,
+    session_lines,
+)
 
 DIMENSIONS = 64
 K = 5
@@ -395,6 +403,38 @@ def traffic_map_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.map_report(summary, roads(spark, sf_dir), "report_id", points)
 
 
+def _written_csv(df: DataFrame, folder: str, schema: str) -> str:
+    """Writes ``df`` as CSV with a header and all columns of ``schema``, those it lacks empty."""
+    kinds = StructType.fromDDL(schema)
+    columns = [
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds
+    ]
+    df.select(*columns).write.csv(folder, header=True)
+    return folder
+
+
+def traffic_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements from many CSV files with a header as one table, and roads from one file."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("report_id"), F.col("ts").alias("timestamp"), F.hour("ts").alias("vehicle_count")
+    )
+    raw = _written_csv(events.repartition(7, "report_id"), new_folder(spark, "rawdata"), TRAFFIC_RAWDATA_SCHEMA)
+    named = roads_with_names(spark, sf_dir).coalesce(1)
+    meta = _written_csv(named, new_folder(spark, "metadata"), TRAFFIC_METADATA_SCHEMA)
+    latest = F.max(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("latest")
+    summary = read_traffic_rawdata(spark, raw).groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("vehicle_count").cast("long").alias("vehicles"), latest
+    )
+    names = read_traffic_metadata(spark, meta).select("report_id", "report_name")
+    return summary.join(names, "report_id")
+
+
+def roads_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("report_id"), F.col("c_name").alias("report_name")
+    )
+
+
 def audit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = audit.audit_parse(audit_lines(spark, sf_dir))
     numbers = ["serial", "ppid", "pid", "auid", "euid", "argc"]  # -1 where absent, for comparison
@@ -544,6 +584,7 @@ QUERIES: dict[str, Query] = {
     "traffic_dominant_cluster": traffic_dominant_cluster,
     "traffic_time_slices": traffic_time_slices,
     "traffic_map_report": traffic_map_report,
+    "traffic_csv": traffic_csv,
     "audit_parse": audit_parse,
     "audit_source": audit_source,
     "audit_counts": audit_counts,

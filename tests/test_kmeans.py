@@ -270,3 +270,17 @@ def test_several_draws_of_a_pass_are_those_of_single_ones(spark, monkeypatch, dr
     assert n_single == 23 and n_several <= 16
     if (draws, parts) == (7, 2):
         assert n_several <= 12
+
+
+def test_slices_beyond_generated_code(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 5), *map(float, rng.integers(0, 40, 2))) for i in range(300)] + [(300, 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, y double")
+    slices = {"low": F.col("g") < 3, "odd": F.col("g") % 2 == 1, "none": F.col("g") > 9}
+
+    def clusters():
+        return sorted(map(str, km.kmeans_sliced(df, "id", ["x", "y"], 6, slices, n_rounds=4).collect()))
+
+    want = clusters()
+    monkeypatch.setattr(vectors, "UNROLL_LIMIT", 0)
+    assert clusters() == want and len(want) == 181 + 120
