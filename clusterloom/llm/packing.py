@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from clusterloom.lineage import cut_lineage
 
 CAPACITY = 2048
+#: Documents and attention cost that a full sequence can have at most: with these, every
+#: remainder has a part in the score, and no sequence more is needed.
+MAX_DOCUMENTS, MAX_ATTENTION = CAPACITY, CAPACITY**2
 END_ID = 0
 PIECES_PER_SHARD = 8192
 #: Words whose ids a task remembers, and their longest form in bytes.
@@ -160,33 +163,36 @@ def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], score:
     order = np.argsort(-lengths, kind="stable")
     sequence = np.full(len(lengths), -1, dtype=np.int64)
     offset = np.zeros(len(lengths), dtype=np.int64)
-    least = need.min(axis=0) if len(need) else limit
+    least = need.min(axis=0)[:, None] if len(need) else limit[:, None]
+    share = weight / limit**2  # weights of shares of the capacities, for amounts as they are
 
-    left = np.empty((1024, len(limit)))  # what open sequences have left
+    left = np.empty((len(limit), 1024))  # what open sequences have left, a row for each capacity
     name = np.empty(1024, dtype=np.int64)
     n_open = n_all = 0
     used = np.zeros(len(lengths), dtype=np.int64)
+    needs = need[:, :, None]
     for i in order:
-        v, free = need[i], left[:n_open]
-        fits = np.flatnonzero((free >= v).all(axis=1))
+        v, free = needs[i], left[:, :n_open]
+        fits = np.flatnonzero((free >= v).all(axis=0))
         if len(fits):
-            r = free[fits] / limit
+            r = free[:, fits]
             if score == "norm":
-                pick = fits[(weight * (r - v / limit) ** 2).sum(axis=1).argmin()]
+                r = r - v
+                pick = fits[(share @ (r * r)).argmin()]
             else:
-                pick = fits[((weight * r * (v / limit)).sum(axis=1) / (weight * r * r).sum(axis=1)).argmax()]
+                pick = fits[((share @ (r * v)) / (share @ (r * r))).argmax()]
         else:
-            if n_open == len(left):
-                left, name = np.concatenate([left, left]), np.concatenate([name, name])
+            if n_open == left.shape[1]:
+                left, name = np.concatenate([left, left], axis=1), np.concatenate([name, name])
             pick = n_open
-            left[pick], name[pick] = limit, n_all
+            left[:, pick], name[pick] = limit, n_all
             n_open, n_all = n_open + 1, n_all + 1
         s = name[pick]
         sequence[i], offset[i] = s, used[s]
         used[s] += lengths[i]
-        left[pick] -= v
-        if (left[pick] < least).any():  # nothing fits any more
-            left[pick : n_open - 1] = left[pick + 1 : n_open]
+        left[:, pick] -= need[i]
+        if (left[:, pick:pick + 1] < least).any():  # nothing fits any more
+            left[:, pick : n_open - 1] = left[:, pick + 1 : n_open]
             name[pick : n_open - 1] = name[pick + 1 : n_open]
             n_open -= 1
     return sequence, offset

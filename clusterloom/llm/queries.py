@@ -66,7 +66,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(
+        documents, public_tokenizers.path("word_bpe_49k.json"),
+        max_documents=packing.MAX_DOCUMENTS, max_attention=packing.MAX_ATTENTION,
+    )
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of all documents into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(
+        docs, public_tokenizers.path("word_bpe_49k.json"),
+        max_documents=packing.MAX_DOCUMENTS, max_attention=packing.MAX_ATTENTION,
+    )
 
 
 STAGES: list[tuple[str, Stage]] = [

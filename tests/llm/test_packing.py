@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from clusterloom.llm import packing
 from clusterloom.llm.packing import WordEncoder, best_fit, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -97,3 +98,47 @@ def test_attention_limit_cuts_pieces_and_edge_tables(spark, tokenizer):
     assert sorted(r.length for r in rows) == [1, 21, 21, 40, 40, 40, 40]
     assert len(pack_documents(table, PATH, max_documents=1).collect()) == 3
     assert pack_documents(table.limit(0), PATH).collect() == []
+
+
+def least_sequences(lengths, capacities):
+    """The least number of sequences, by trying every way to deal the pieces out."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def deal(i, sequences):
+        if len(sequences) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(sequences)
+            return
+        seen = set()
+        for s, held in enumerate(sequences):
+            more = (held[0] + lengths[i], held[1] + 1, held[2] + lengths[i] ** 2)
+            if held not in seen and all(m <= c for m, c in zip(more, capacities)):
+                seen.add(held)
+                deal(i + 1, [*sequences[:s], more, *sequences[s + 1:]])
+        deal(i + 1, [*sequences, (lengths[i], 1, lengths[i] ** 2)])
+
+    deal(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("capacities", [(20, 20, 400), (20, 3, 400), (20, 4, 180), (20, 20, 150)])
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_close_to_the_least_number_of_sequences(capacities, score):
+    draw = np.random.default_rng(4)
+    more = 0
+    for _ in range(60):
+        lengths = draw.integers(1, 12, draw.integers(1, 11))
+        sequence, _ = best_fit(lengths, capacities, score)
+        n, least = len(set(sequence.tolist())), least_sequences(lengths.tolist(), capacities)
+        assert least <= n <= least + 1
+        more += n > least
+    assert more <= 9
+
+
+def test_capacities_of_the_query_cost_no_sequence():
+    lengths = np.minimum(np.random.default_rng(5).pareto(1.2, 6000) * 150 + 1, 2048).astype(int)
+    bound = (2048.0, float(packing.MAX_DOCUMENTS), float(packing.MAX_ATTENTION))
+    vector, tokens = (len(set(best_fit(lengths, c)[0].tolist())) for c in (bound, (2048.0, math.inf, math.inf)))
+    assert vector <= tokens + 1 and vector <= math.ceil(lengths.sum() / 2048) + 3
