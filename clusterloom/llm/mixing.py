@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is dealt out in blocks of ``block_words`` words. Highest quotients
-``target / (2 * seats + 1)`` give each source a whole number of blocks, and the
-same rule shares a source's blocks among its shards by their size. In a shard
+Highest quotients ``target / (2 * seats + 1)`` give each source a whole number of
+words, and so a number of blocks of ``block_words`` words and a shorter last one. The
+same rule shares a source's blocks among its shards by their size; the last goes to
+the shard that would get the next one. In a shard
 the documents of a source form one stream in seeded order, cut into blocks; as
 many whole passes as the quota holds take every document, and a seeded
 permutation of the blocks supplies the rest, the last one in part.
@@ -97,7 +98,11 @@ def _shard_plan(block_words: int, seed: int) -> Callable[[pd.DataFrame], pd.Data
     def plan(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard", ignore_index=True)
         most = cells["words"].to_numpy() * MOST_COPIES
-        quotas = sainte_lague(cells["words"], int(cells["quota"].iloc[0])) * block_words
+        sizes = cells["words"].to_numpy(dtype=np.float64)
+        blocks, last = divmod(int(cells["quota"].iloc[0]), block_words)
+        seats = sainte_lague(sizes, blocks)
+        quotas = seats * block_words
+        quotas[(sizes / (2 * seats + 1)).argmax()] += last
         fits = np.minimum(quotas, most)
         # what is too much for a shard goes to the first ones with room
         room = np.cumsum(most - fits)
@@ -168,7 +173,7 @@ def mix_sources(
     sources = sorted(totals.collect(), key=lambda r: (r.source_key == "", r.source_key.encode()))
     shares = weights([r.source_key[1:] if r.source_key else None for r in sources])
     targets = capped_targets([r["size"] for r in sources], shares, MOST_COPIES)
-    quotas = sainte_lague(targets, round(sum(targets) / block_words))
+    quotas = sainte_lague(targets, round(sum(targets)))
     n_shards = max(1, -(-sum(r.n for r in sources) // rows_per_shard))
     mix = spark.createDataFrame(
         [(r.source_key, r["size"], t, int(q)) for r, t, q in zip(sources, targets, quotas)],
