@@ -1,4 +1,4 @@
-"""Suffix-array dedup with sparse suffixes.
+"""Repeated passages by sparse suffixes.
 
 Of the suffixes of a text (word by word) only those are retained that begin at a
 minimiser: the place of the smallest ``head`` words hash among all heads that
@@ -8,10 +8,14 @@ the same suffix, so
 1. retained suffixes whose heads occur once are dropped; in text without
    repeats nothing is left,
 2. each suffix that is left is extended left and right to the runs of
-   ``min_words`` words whose minimiser it is, and the runs are sorted by content
-   and compared with their neighbours in that order,
+   ``min_words`` words whose minimiser it is, and the runs are brought together
+   by the hash of their words,
 3. repeated runs of a document that overlap grow together into passages.
 
+Suffixes are not compared with their neighbours in sorted order: the neighbour
+shares most to the right, and another one, which shares less there and more to
+the left, may be the only one with which ``min_words`` words are reached.
+
 The result is exact: a word counts as repeated if, and only if, it lies in a run
 of ``min_words`` words that occurs more than once. Suffix heads are counted with
 a partial count before the shuffle. Runs of a very common head are sorted in
@@ -36,7 +40,7 @@ from clusterloom.lineage import cut_lineage
 MIN_WORDS = 50
 HEAD_WORDS = 18
 #: Occurrences of a head for each part in which its runs are sorted.
-ROWS_PER_PART = 10_000
+ROWS_PER_PART = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -142,7 +146,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = extended.mapInArrow(extend, "run long, row long, start int, n_parts int")
     part = F.when(F.col("n_parts") > 1, F.pmod("row", F.col("n_parts"))).otherwise(0)
     candidates = candidates.withColumn("part", part.cast("int"))
-    # sorted by content; equal neighbours are repeats
+    # equal runs lie side by side; a run with a neighbour is a repeat
     order = Window.partitionBy("run", "part").orderBy("row", "start")
     compared = candidates.select(
         "run", "row", "start", "n_parts",
