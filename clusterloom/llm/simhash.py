@@ -48,6 +48,8 @@ COPY_RADIUS = 26
 #: Smallest shingle hashes that name a text's shards. Texts of similarity J have
 #: none in common with probability (1 - J) ** 8 at most: 3e-6 at 0.8.
 COPY_KEYS = 8
+#: Further keys, with which a key of very many texts is taken together.
+MORE_KEYS = 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -389,7 +391,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_k
                 hashes = np.unique(_shingle_hashes(text.as_py(), shingle))
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 bits.append(_majority(hashes))
-                keys.append(hashes[:n_keys].view(np.int64))
+                keys.append(hashes[:n_keys + MORE_KEYS].view(np.int64))
                 sets.append((hashes >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (nodes, bits)),
@@ -403,25 +405,29 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_k
 
 
 def copy_links(classes: DataFrame, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS,
-               shard_size: int = SHARD_SIZE) -> DataFrame:
+               shard_size: int = SHARD_SIZE, n_keys: int = COPY_KEYS) -> DataFrame:
     """``(a, b)``: links that connect the distinct ``node``s of similar shingle sets.
 
-    Classes meet in the shards of the keys they share. Keys of more than
-    ``shard_size`` classes are taken in pairs, as similar classes that share no
-    rarer key share several of them; where such a pair is common too, the shard's
-    trees are cut into parts.
+    Classes meet in the shards of the first ``n_keys`` keys that they share. Keys of
+    more than ``shard_size`` classes are taken together with each other such key of the
+    class and with each of its further keys, so that classes which share one such key and
+    no other of the first ones meet by a further one; where such a pair is common too, the
+    shard's trees are cut into parts. Of similar classes, all but about one pair in 300,000
+    meet, crowded or not: each key is shared with a probability of at least ``similarity``.
     """
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+    keyed = classes.select("node", F.explode(F.slice("keys", 1, n_keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sized = cut_lineage(keyed.join(sizes, "key").select("node", "key", "size"))
     shards = sized.filter(F.col("size") <= shard_size)
     crowded = sized.filter(F.col("size") > shard_size)
     if not crowded.isEmpty():
-        held = crowded.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+        further = classes.select("node", F.slice("keys", n_keys + 1, MORE_KEYS).alias("further"))
+        held = crowded.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(further, "node")
         pairs = F.flatten(F.transform("keys", lambda a: F.transform(
-            F.filter("keys", lambda b: b > a), lambda b: F.xxhash64(a, b)
+            F.concat(F.filter("keys", lambda b: b > a), F.col("further")),
+            lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b)),
         )))
-        paired = cut_lineage(held.select("node", F.explode(pairs).alias("key")))
+        paired = cut_lineage(held.select("node", F.explode(F.array_distinct(pairs)).alias("key")))
         sizes = paired.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         shards = shards.unionByName(paired.join(sizes, "key").select("node", "key", "size"))
     rows = _visits(shards, "node", shard_size).select(
@@ -455,7 +461,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove_folder(spark, all_sets)
     classes = spark.read.parquet(class_sets)
     names = cut_lineage(classes.select("node", "least"))
-    links = copy_links(classes, similarity, radius, shard_size)
+    links = copy_links(classes, similarity, radius, shard_size, n_keys)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "of")
     remove_folder(spark, class_sets)
     named = names.join(groups, names["node"] == groups["of"], "left").select(

@@ -66,3 +66,27 @@ def test_pipeline_keeps_what_is_less_alike_than_asked(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.simhash_stage(spark, table, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(rows)))
+
+
+def test_classes_that_share_one_crowded_key_meet_by_a_further_one(spark):
+    import numpy as np
+
+    draw = random.Random(11)
+    crowd = 40  # classes that share the smallest key and nothing else
+    rows = []
+    for i in range(crowd):
+        own = sorted(draw.getrandbits(62) + 2**40 for _ in range(400))
+        rows.append((i, [7, *own]))
+    base = [7, *sorted(draw.getrandbits(62) + 2**40 for _ in range(399))]
+    for i in (100, 101):  # alike, but each of the first keys after the crowded one is their own
+        own = [8 + 10 * k + (i - 100) for k in range(7)]
+        rows.append((i, [7, *own, *base[1:]]))
+
+    def packed(hashes):
+        return (np.array(hashes, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
+
+    sets = [(n, 0, h[:simhash.COPY_KEYS + simhash.MORE_KEYS], bytearray(packed([x << 1 for x in h]))) for n, h in rows]
+    classes = spark.createDataFrame(sets, "node long, bits long, keys array<long>, shingles binary")
+    for size in (2048, 16):
+        found = {tuple(sorted(map(int, r))) for r in simhash.copy_links(classes, shard_size=size).collect()}
+        assert found == {(100, 101)}
