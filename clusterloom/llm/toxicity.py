@@ -37,7 +37,15 @@ WINDOW_WORDS = 6
 #: A saving, in bytes, that counts a window as striking.
 STRIKING = 3
 PREDICT_FROM = 0.3
+#: Bounds of the fit within these rows, so that the driver can train. Of ordinary texts,
+#: passages of so many bytes from all over each text, so many in all (one of a text at
+#: least); of a toxic text, so many of its speaking words, from all over it; and so many
+#: beginnings that speak. Scoring has no bounds.
 _ORDINARY_SAMPLES, _SAMPLE_BYTES = 80_000, 512
+_TOXIC_WORDS, _SPEAKING = 1000, 5000
+#: With fewer rows than this to calibrate, the same rows train and calibrate.
+_LEAST_CALIBRATION = 20
+#: The two dictionaries' sizes; the ordinary one is trained in parts.
 _ORDINARY_PARTS, _PART_BYTES, _TOXIC_BYTES = 4, 1 << 18, 4096
 #: Log-likelihood ratio from which a word's beginning speaks for toxic text.
 _SPEAKS = 25.0
@@ -179,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {t: sum(v for (toxic, _), v in sizes.items() if toxic == t) for t in (0, 1)}
     if not n[0] or not n[1]:
         return ToxicityModel(b"", b"", (), (), (), n[1] / max(1, n[0] + n[1]))
-    # too few to spare any: the same rows train and calibrate
-    spare = min(sizes.get((t, True), 0) for t in (0, 1)) >= 20
+    spare = min(sizes.get((t, True), 0) for t in (0, 1)) >= _LEAST_CALIBRATION
     training = rows.filter(~F.col("calibrates")) if spare else rows
     calibrating = rows.filter("calibrates") if spare else rows
 
@@ -264,7 +271,7 @@ def _toxic_dictionary(training: DataFrame) -> bytes:
     p = (a + b) / F.lit(n0 + n1)
     ratio = 2 * (term(a, n1, a / n1) + term(b, n0, b / n0) - term(a, n1, p) - term(b, n0, p))
     speaks = counted.filter((a >= 5) & (a / n1 > 10 * (b + 0.5) / n0) & (ratio > _SPEAKS))
-    speaking = frozenset(bytes(r.beginning) for r in speaks.orderBy(ratio.desc(), "beginning").limit(5000).collect())
+    speaking = frozenset(bytes(r.beginning) for r in speaks.orderBy(ratio.desc(), "beginning").limit(_SPEAKING).collect())
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +279,7 @@ def _toxic_dictionary(training: DataFrame) -> bytes:
             for text in batch.column(0):
                 own = [w for w in words_of(text.as_py()) if not speaking.isdisjoint(_beginnings(w))]
                 if own:
-                    found.append(b" " + b" ".join(own[:1000]) + b" ")
+                    found.append(b" " + b" ".join(own[::-(-len(own) // _TOXIC_WORDS)]) + b" ")
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["sample"])
 
     toxic = training.filter("toxic = 1").select("text").mapInArrow(sample, "sample binary")
