@@ -76,3 +76,36 @@ def test_without_labels_or_rows(spark):
     assert t.toxicity(table.limit(0), none).collect() == []
     few = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in t.toxicity(table, few).collect())
+
+
+def plain_score(model, text):
+    """The score by the words of the method: one window after the other, one feature after the other."""
+    import math
+    import re
+
+    words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+    windows = [words[i:i + 6] for i in range(0, len(words), 6)]
+    ordinary, both = t._compressor(model.ordinary), t._compressor(model.ordinary + model.toxic)
+    saved = []
+    for window in windows:
+        line = b" " + b" ".join(window) + b" "
+        saved.append(len(ordinary.compress(line)) - len(both.compress(line)))
+    saved = sorted(saved or [0], reverse=True)
+    striking = [s for s in saved if s >= 3]
+    features = [
+        saved[0], sum(saved[:3]), math.log(1 + len(striking)), 10 * len(striking) / len(saved),
+        10 * sum(saved) / len(saved), math.log(len(saved)),
+    ]
+    x = model.base + sum(w * (f - c) / s for w, f, c, s in zip(model.weights, features, model.centre, model.spread))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def test_scores_are_those_of_a_plain_version(scored):
+    table, labels, rows = scored
+    model = t.fit(table, labels)
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r.score)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for doc_id in [*range(0, 2400, 7), 9000, 9001, 9002, 9003, None]:
+        assert got[doc_id][0] == pytest.approx(plain_score(model, texts[doc_id]), abs=1e-9)
