@@ -148,7 +148,7 @@ def test_uneven_arrays_are_an_error(spark):
 
 @pytest.mark.parametrize("bad", [
     dict(k=1), dict(k=2, features=[]), dict(k=2, max_iter=0), dict(k=2, init="other"),
-    dict(k=2, empty="other"), dict(k=10**8),
+    dict(k=2, empty="other"), dict(k=10**8, init="plus"),
 ])
 def test_bad_arguments(spark, bad):
     bad = {"features": ["x"], **bad}
