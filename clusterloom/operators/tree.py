@@ -60,7 +60,7 @@ def sizes_below(edges: DataFrame, root: int) -> DataFrame:
         linked = linked.unionByName(moved.filter(at_root))
         still_open = moved.filter(~at_root)
         n_linked = counts["linked"] if counts["open"] else 0
-    found = linked.select("pid", "root", "depth")
+    found = linked.select("pid", "root", "depth", F.lit(None).cast("long").alias("more"))
     for credit in credits:
         found = found.unionByName(credit.select(F.col("up").alias("pid"), "more"), allowMissingColumns=True)
     sizes = found.groupBy("pid").agg(
