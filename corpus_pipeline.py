@@ -22,8 +22,8 @@ COPY_SIMILARITY = 0.8
 COPY_SHINGLE = 5
 #: Bits by which their fingerprints may differ before the shingles are compared.
 COPY_RADIUS = simhash.COPY_RADIUS
-#: A wide radius prunes less, so trees are kept smaller than by default.
-COPY_SHARD = 1024
+#: Texts of a key that are searched as one; the parts of a larger group meet in pairs.
+COPY_SHARD = simhash.SHARD_SIZE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
