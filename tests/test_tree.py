@@ -1,7 +1,6 @@
 """Tree positions against a plain walk."""
 
 import random
-import sys
 
 import pytest
 
