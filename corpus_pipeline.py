@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clusterloom.lineage import new_folder, remove_folder
 from clusterloom.llm import mixing, packing, simhash, suffixes, toxicity
@@ -22,8 +21,8 @@ COPY_SIMILARITY = 0.8
 COPY_SHINGLE = 5
 #: Bits by which their fingerprints may differ before the shingles are compared.
 COPY_RADIUS = simhash.COPY_RADIUS
-#: Texts of a key that are searched as one; the parts of a larger group meet in pairs.
-COPY_SHARD = simhash.SHARD_SIZE
+#: A wide radius prunes less, so trees are kept smaller than by default.
+COPY_SHARD = 1024
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
