@@ -35,6 +35,8 @@ def text_like_range_scan(
 SIGNATURE_BITS = 32768
 ROWS_PER_GROUP = 4096
 GROUP = "scan_group"
+# At each character, itself and the two behind it.
+THREE = "(?s)(?=(...))."
 
 
 def _bit(three: Column) -> Column:
@@ -53,10 +55,13 @@ def write_with_signatures(df: DataFrame, path: str, pk: str, text: str, rows_per
     grouped = df.select("*", group).repartition(GROUP)
     grouped.write.partitionBy(GROUP).parquet(f"{path}/rows")
     written = df.sparkSession.read.parquet(f"{path}/rows").select(GROUP, quoted(text).alias("text"))
-    places = F.sequence(F.lit(1), F.greatest(F.char_length("text") - 2, F.lit(1)))
-    threes = F.array_distinct(F.transform(places, lambda at: F.substring("text", at, F.lit(3))))
-    bits = written.select(GROUP, F.explode(threes).alias("three")).select(GROUP, _bit(F.col("three")).alias("bit"))
-    bits.groupBy(GROUP).agg(F.bitmap_construct_agg("bit").alias("signature")).write.parquet(f"{path}/signatures")
+    # one pass over a text, whatever its length: substring() would count from its start for each place
+    threes = F.array_distinct(F.regexp_extract_all("text", F.lit(THREE), F.lit(1)))
+    # a group whose texts are all shorter has a signature too
+    bits = written.select(GROUP, F.explode_outer(threes).alias("three")).select(GROUP, _bit(F.col("three")).alias("bit"))
+    # each bit once, by hashes: the bitmap is an aggregate that sorts its rows
+    signatures = bits.distinct().groupBy(GROUP).agg(F.bitmap_construct_agg("bit").alias("signature"))
+    signatures.write.parquet(f"{path}/signatures")
 
 
 def required_threes(pattern: str, escape: str = "\\") -> list[str]:

@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 from collections import Counter
 from contextlib import redirect_stdout
 
@@ -33,6 +34,18 @@ def test_signed_scan_finds_what_the_plain_one_does(spark, texts, pattern):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_signing_a_long_text_takes_one_pass(spark, tmp_path):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdeé \n\U0001F600", k=300_000))
+    df = spark.createDataFrame([(1, long + "qxz"), (2, "qx"), (3, "\nqx\n\U0001F600")], "id long, text string")
+    began = time.monotonic()
+    scan.write_with_signatures(df, str(tmp_path), "id", "text", rows_per_group=1)
+    assert time.monotonic() - began < 40
+    for pattern, want in (("%qxz%", [1]), ("qx%", [2]), ("%x\n\U0001F600", [3]), (f"%{long[-9:]}%", [1])):
+        found = scan.signed_like_scan(spark, str(tmp_path), "text", pattern)
+        assert [r["id"] for r in found.collect()] == want
+
+
 def test_groups_without_the_characters_are_not_read(spark, texts):
     _, path = texts
     n = scan.groups_in_question(spark, path, "%").count()
