@@ -53,21 +53,24 @@ def audit_parse(lines: DataFrame, value: str = "value") -> DataFrame:
     the program name in quotes, by number, empty when there are none; those that
     the log has as hexadecimal digits are decoded.
     """
-    def field(name: str) -> Column:
-        text = F.nullif(F.regexp_extract(value, PATTERNS[name], 1), F.lit(""))
+    def found(name: str) -> Column:
+        text = F.regexp_extract(value, PATTERNS[name], 1)
         if name not in ("type", "event_time", "serial"):
             # a search that finds nothing reads the whole line: skip what cannot be there
-            is_exec = F.col("type") == "EXECVE"
-            text = F.when(is_exec if name == "argc" else ~is_exec, text)
-        return text.try_cast(_NUMBERS[name]) if name in _NUMBERS else text
+            text = F.when(F.col("type") == "EXECVE" if name == "argc" else ~F.col("type").isin("", "EXECVE"), text)
+        return text.alias(name)
 
-    fields = lines.select(value, field("type").alias("type")).select(
-        value, "type", *[field(name).alias(name) for name in PATTERNS if name != "type"]
-    )
-    return fields.select(
-        *PATTERNS,
+    def field(name: str) -> Column:
+        # what was searched is a column here, so that no search is made twice
+        return (F.col(name).try_cast(_NUMBERS[name]) if name in _NUMBERS else F.nullif(name, F.lit(""))).alias(name)
+
+    texts = lines.select(value, found("type")).select(
+        "type", *[found(n) for n in PATTERNS if n != "type"],
         F.when(F.col("type") == "EXECVE", arguments(F.col(value))).alias("args"),
-        (F.col("type").isNull() | F.col("serial").isNull()).alias("malformed"),
+    )
+    return texts.select(
+        *map(field, PATTERNS), "args",
+        (F.nullif("type", F.lit("")).isNull() | field("serial").isNull()).alias("malformed"),
     )
 
 
@@ -150,10 +153,12 @@ def session_records(records: DataFrame) -> DataFrame:
 
     :func:`line_counts` tells how many lines are left out.
     """
+    columns = ["type", "event_time", "serial", "arch", "syscall", "ppid", "pid", "euid", "exe", "domain", "args"]
     wanted = is_exit() | is_exec() | F.col("type").isin("EXECVE", "LOGIN")
-    return records.filter(~F.col("malformed") & wanted).select(
-        "type", "event_time", "serial", "arch", "syscall", "ppid", "pid", "euid", "exe", "domain", "args"
-    )
+    # Spark moves a filter below the columns it reads, and would search each line again wherever
+    # the filter names one of them; it moves none below a generator
+    parsed = records.select(F.inline(F.array(F.struct(*columns, "malformed"))))
+    return parsed.filter(~F.col("malformed") & wanted).select(*columns)
 
 
 def process_table(records: DataFrame, arguments: DataFrame | None = None) -> DataFrame:

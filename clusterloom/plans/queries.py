@@ -111,7 +111,9 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     First arguments look like arguments themselves or are hexadecimal, and clicks
     make a process that lives on call what would be an exit on 32-bit x86.
     """
-    e = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    # an event makes three long lines, so its file has far fewer parts than a log of them would have
+    e = events.repartition(ordered.n_partitions(events)).select(
         (F.col("event_id") + 2).alias("pid"),
         F.expr("event_id div 2 + 1").alias("ppid"),
         "user_id", "event_type", "props",

@@ -40,6 +40,21 @@ def test_parse(spark):
     assert (rows[3]["type"], rows[3]["pid"], rows[3]["auid"]) == ("LOGIN", 3, 42)
 
 
+def test_no_line_is_searched_twice_for_a_field(spark):
+    lines = spark.createDataFrame([(login(1, 1),)], "value string").repartition(2)
+    plan = audit.session_records(audit.audit_parse(lines))._jdf.queryExecution().optimizedPlan().toString()
+    for name in set(audit.PATTERNS) - {"auid", "argc"}:
+        assert plan.count(audit.PATTERNS[name]) == 1, name
+
+
+def test_fields_of_lines_without_a_type_are_null(spark):
+    lines = ["node=a msg=audit(1.5:2): arch=c000003e syscall=231 ppid=1 pid=5 exe=\"/x\" argc=1", " pid=3", None]
+    rows = audit.audit_parse(spark.createDataFrame([(v,) for v in lines], "value string")).collect()
+    assert [(str(r["event_time"]), r["serial"], r["malformed"]) for r in rows] == [
+        ("1.500", 2, True), ("None", None, True), ("None", None, True)]
+    assert {r[c] for r in rows for c in r.asDict() if c not in ("event_time", "serial", "malformed")} == {None}
+
+
 def test_arguments_one_by_one(spark):
     head = "type=EXECVE msg=audit(1.0:2): argc=3 "
     cases = {
