@@ -490,9 +490,8 @@ def process_tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = audit.audit_parse(audit_lines(spark, sf_dir))
-    tree = audit.process_tree(records, users(spark, sf_dir), with_path=True)
-    pids = F.array_join(F.transform("path", lambda p: p["pid"].cast("string")), "/")
-    return tree.withColumn("path", pids)
+    tree = audit.process_tree(records, users(spark, sf_dir), with_pids=True)
+    return tree.withColumn("pids", F.concat_ws("/", F.col("pids").cast("array<string>"))).withColumnRenamed("pids", "path")
 
 
 def text_like_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,21 @@ def test_link_to_root_against_a_walk(spark, n, parent):
     assert got == {i: walk(i) for i in parents}
 
 
+def test_pids_are_those_of_the_path(spark):
+    edges = spark.createDataFrame([(i, i // 2, -i) for i in range(2, 200)], "pid bigint, ppid bigint, rank bigint")
+    linked = audit.link_to_root(edges, 1, ["rank"], with_path=True, with_pids=True)
+    assert all(r["pids"] == [p["pid"] for p in r["path"]] and len(r["pids"]) == r["depth"] + 1 for r in linked.collect())
+    alone = audit.link_to_root(edges, 1, ["rank"], with_pids=True)
+    assert dict(alone.dtypes)["pids"] == "array<bigint>"  # the ranks of ancestors are not carried along
+    assert sorted(alone.collect()) == sorted(linked.select("pid", "root", "depth", "pids").collect())
+    lines = [login(1, 1), exit_line(2, 2, 1), exit_line(3, 3, 2), exit_line(4, 9, 3)]
+    records = audit.audit_parse(spark.createDataFrame([(line,) for line in lines], "value string"))
+    users = spark.createDataFrame([(0, "root")], "uid bigint, name string")
+    for position in (False, True):
+        rows = audit.process_tree(records, users, with_pids=True, with_position=position).collect()
+        assert {r["pid"]: r["pids"] for r in rows} == {2: [2], 3: [2, 3], 9: [2, 3, 9]}
+
+
 def test_a_long_chain_keeps_rows_small(spark):
     edges = spark.range(2, 5002).selectExpr("id AS pid", "id - 1 AS ppid", "id AS rank")
     linked = audit.link_to_root(edges, 1, ["rank"])
